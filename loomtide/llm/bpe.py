@@ -33,8 +33,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from .storage import small_batches
 
-MEMO = 250_000
-STATES = 150_000
+MEMO = 600_000
+STATES = 300_000
 #: A hypothesis is an integer: (token before + 1) << NODE_BITS | trie node.
 NODE_BITS = 24
 NODE_MASK = (1 << NODE_BITS) - 1
