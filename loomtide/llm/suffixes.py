@@ -5,24 +5,21 @@ pairs (name at p, name at p + h) and so names 2h bytes, and drops positions
 whose name is unique. Two rounds reach the threshold of ``length`` bytes: names
 of the first half are 64-bit hashes (a name need not be a dense rank to be
 paired), and the pair of half names stands for the whole. Work is kept off unique
-positions by five exact reductions, each over all text:
+positions by four exact reductions, each over all text:
 
-1. Of documents with equal text the smallest id stands for all; the others
-   repeat it wholly.
-2. A document is cut at content-defined places into chunks of a few hundred
-   bytes. A chunk that, with the ``length`` - 1 bytes after it, also stands in a
+1. A document is cut at content-defined places into chunks of a hundred bytes or
+   two. A chunk that, with the ``length`` - 1 bytes after it, also stands in a
    smaller document repeats wholly. Only the other chunks' positions go on. (The
    smallest document that holds a string never loses it in this step, so later
    steps find the same smallest document.)
-3. Round one: among the half names inside a ``length``-byte string, the smallest
+2. Round one: among the half names inside a ``length``-byte string, the smallest
    stands for it. Equal strings agree on it, so it occurs in as many
-   documents. Spark range-sorts (name, document) and keeps names with two or
-   more documents; a name at the edge of a sorted partition is kept unasked.
-4. The strings that share such a name side by side are a run; a run that also
+   documents. Spark sorts (name, document) and keeps names with two or more documents.
+3. The strings that share such a name side by side are a run; a run that also
    stands in a smaller document repeats wholly, as a chunk does, and names are
    asked again for two or more documents among the runs that are left.
-5. Round two: Spark groups the pairs of half names at the positions that are left
-   and compares each group's smallest document with the others.
+4. Round two: Spark sorts (pair of half names, document) of the positions that are left,
+   so each pair's smallest document comes first.
 
 Names, pairs, chunks and runs are 64-bit hashes: among n of them about n^2 / 2^65
 collide, and a collision of two different strings may remove a passage in error.
@@ -30,7 +27,6 @@ collide, and a collision of two different strings may remove a passage in error.
 
 from __future__ import annotations
 
-import hashlib
 from functools import partial
 
 import numpy as np
@@ -38,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import buffers as B
-from .storage import cut, small_batches
+from .storage import cut, discard, small_batches
 
 #: A chunk ends where this many low bits of a gram's hash are zero.
 CHUNK_BITS = 7
@@ -80,13 +76,6 @@ def string_names(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]
     return h, sliding_min(h, length - half + 1)
 
 
-def _digest(batches):
-    for batch in batches:
-        digests = [hashlib.blake2b(t.tobytes(), digest_size=16).digest() for t in _texts(batch)]
-        sizes = [len(t) for t in _texts(batch)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary())], ["doc_id", "n_bytes", "digest"])
-
-
 def _rows(batches, names: list[str], one):
     """One row per document: its id and list columns made by ``one`` from its bytes."""
     for batch in batches:
@@ -124,24 +113,21 @@ def _open_positions(t: np.ndarray, known: np.ndarray, length: int) -> np.ndarray
 
 def _names(batches, length: int):
     def one(t, batch, i):
-        alive = _open_positions(t, _list(batch, "repeated", i), length)
-        if not alive.any():
+        if len(t) < length:
             return (np.zeros(0, np.int64),)
         name = string_names(t, length)[1]
-        turn = np.ones(len(name), bool)
-        turn[1:] = (name[1:] != name[:-1]) | ~alive[:-1]
-        return (np.unique(name[turn & alive]).view(np.int64),)
+        return (np.unique(name[np.append(True, name[1:] != name[:-1])]).view(np.int64),)
 
     yield from _rows(batches, ["name"], one)
 
 
 def _shared_names(batches):
-    """Of rows sorted by (name, doc_id), those with a neighbour of the same name; rows at a partition's edge are kept."""
+    """Of rows with each name in one partition and sorted by (name, doc_id), those with a neighbour of the same name."""
     held_names, held_ids, before = np.zeros(0, np.int64), np.zeros(0, np.int64), None
 
     def chosen(names, ids, after):
         same = names[1:] == names[:-1]
-        keep = np.append(before is None or before == names[0], same) | np.append(same, after is None or after == names[-1])
+        keep = np.append(before == names[0], same) | np.append(same, after == names[-1])
         return pa.RecordBatch.from_arrays([pa.array(ids[keep]), pa.array(names[keep])], ["doc_id", "name"])
 
     for batch in batches:
@@ -197,6 +183,22 @@ def _pairs(batches, length: int):
     yield from _rows(batches, ["pos", "pair"], one)
 
 
+def _met_before(batches):
+    """Of rows with each pair in one partition and sorted by (pair, doc_id), those whose pair has a smaller document."""
+    last, first = None, None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        ids, pos, pairs = (batch.column(batch.schema.get_field_index(c)).to_numpy() for c in ("doc_id", "pos", "pair"))
+        starts = np.flatnonzero(np.append(True, pairs[1:] != pairs[:-1]))
+        low = ids[starts].copy()
+        if last is not None and pairs[0] == last:
+            low[0] = first
+        found = ids > np.repeat(low, np.diff(np.append(starts, len(ids))))
+        last, first = pairs[-1], low[-1]
+        yield pa.RecordBatch.from_arrays([pa.array(ids[found]), pa.array(pos[found])], ["doc_id", "pos"])
+
+
 def runs_of(covered: np.ndarray) -> np.ndarray:
     """(start, end) of the maximal runs of true cells, one row each."""
     edges = np.diff(np.concatenate([[0], covered.astype(np.int8), [0]]))
@@ -206,17 +208,15 @@ def runs_of(covered: np.ndarray) -> np.ndarray:
 def _removed(batches, length: int, as_text: bool):
     for batch in batches:
         spans, kept, removed = [], [], []
-        whole = batch.column(batch.schema.get_field_index("whole")).to_pylist()
         for i, t in enumerate(_texts(batch)):
             if len(t) < length:
                 covered = np.zeros(len(t), bool)
-            elif whole[i]:
-                covered = np.ones(len(t), bool)
             else:
                 start = ~_open_positions(t, _list(batch, "repeated", i), length)
-                _, lo, hi, _, hashes = _runs_at(t, batch, i, length)
-                known = np.isin(hashes, _list(batch, "known", i))
-                start[_spread(lo[known], hi[known])] = True
+                if len(known := _list(batch, "known", i)):
+                    _, lo, hi, _, hashes = _runs_at(t, batch, i, length)
+                    again = np.isin(hashes, known)
+                    start[_spread(lo[again], hi[again])] = True
                 start[_list(batch, "pos", i)] = True
                 step = np.zeros(len(t) + 1, np.int32)
                 step[: len(start)] += start
@@ -248,36 +248,34 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spark = docs.sparkSession
     small_batches(spark)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).where("doc_id is not null")
-    digests = cut(texts.mapInArrow(_digest, "doc_id long, n_bytes long, digest binary"), "digests")
-    firsts = digests.where(F.col("n_bytes") >= length).groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1")
-    copies = cut(digests.where(F.col("n_bytes") >= length).join(firsts, "digest").where("doc_id > first").select("doc_id").distinct(), "copies")
-    own = texts.join(copies, "doc_id", "left_anti")
-
-    chunked = cut(own.mapInArrow(partial(_chunks, length=length), "doc_id long, chunk array<long>"), "chunks")
+    chunked = cut(texts.mapInArrow(partial(_chunks, length=length), "doc_id long, chunk array<long>"), "chunks")
     chunk = chunked.select("doc_id", F.explode("chunk").alias("chunk"))
     low = chunk.groupBy("chunk").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").drop("high")
     repeated = cut(chunk.join(low, "chunk").where("low < doc_id").groupBy("doc_id").agg(F.collect_set("chunk").alias("repeated")), "repeated")
+    discard(chunked)
 
-    rest = own.join(repeated, "doc_id", "left")
-    named = rest.mapInArrow(partial(_names, length=length), "doc_id long, name array<long>").select("doc_id", F.explode("name").alias("name"))
+    named = texts.mapInArrow(partial(_names, length=length), "doc_id long, name array<long>").select("doc_id", F.explode("name").alias("name"))
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    ranked = named.repartitionByRange(parts, "name", "doc_id").sortWithinPartitions("name", "doc_id")
+    # A name occurs once a document, so even one that a third of them share is a small part of all rows.
+    ranked = named.repartition(parts, "name").sortWithinPartitions("name", "doc_id")
     shared = ranked.mapInArrow(_shared_names, "doc_id long, name long")
     names = cut(shared.groupBy("doc_id").agg(F.collect_set("name").alias("names")), "shared")
 
+    rest = texts.join(repeated, "doc_id", "left")
     live = rest.join(names, "doc_id")
     runs = cut(live.mapInArrow(partial(_runs, length=length), "doc_id long, run array<long>, name array<long>"), "runs")
     run = runs.select("doc_id", F.explode(F.arrays_zip("run", "name")).alias("x")).select("doc_id", "x.*")
     low = run.groupBy("run").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").drop("high")
     judged = cut(run.join(low, "run", "left").select("doc_id", "run", "name", F.coalesce(F.col("low") < F.col("doc_id"), F.lit(False)).alias("known")), "judged")
+    discard(runs)
     still = judged.where("not known").groupBy("name").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("name")
     ask = judged.where("not known").join(still, "name").groupBy("doc_id").agg(F.collect_set("run").alias("ask"))
     known = judged.where("known").groupBy("doc_id").agg(F.collect_set("run").alias("known"))
 
     pairs = live.join(ask, "doc_id").mapInArrow(partial(_pairs, length=length), "doc_id long, pos array<int>, pair array<long>")
     pair = pairs.select("doc_id", F.explode(F.arrays_zip("pos", "pair")).alias("x")).select("doc_id", "x.*")
-    low = pair.groupBy("pair").agg(F.min("doc_id").alias("low"))
-    found = cut(pair.join(low, "pair").where("low < doc_id").groupBy("doc_id").agg(F.collect_list("pos").alias("pos")), "found")
+    met = pair.repartition(parts, "pair").sortWithinPartitions("pair", "doc_id").mapInArrow(_met_before, "doc_id long, pos int")
+    found = cut(met.groupBy("doc_id").agg(F.collect_list("pos").alias("pos")), "found")
 
-    marks = repeated.join(found, "doc_id", "full").join(known.join(names, "doc_id"), "doc_id", "full").withColumn("whole", F.lit(False)).unionByName(copies.withColumn("whole", F.lit(True)), allowMissingColumns=True)
+    marks = repeated.join(found, "doc_id", "full").join(known.join(names, "doc_id"), "doc_id", "full")
     return texts.join(marks, "doc_id", "left").mapInArrow(partial(_removed, length=length, as_text=as_text), f"doc_id long, n_bytes long, n_removed long, spans array<long>, kept {'string' if as_text else 'binary'}")
