@@ -103,6 +103,15 @@ def gram_hashes(data: np.ndarray, k: int) -> np.ndarray:
     sums = prefix_sums(data)
     h = sums[k:] - sums[:-k]
     h *= powers("down", len(h))
+    return _gram_mix(h)
+
+
+def grams_at(sums: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
+    """``gram_hashes`` of some positions, from the text's ``prefix_sums``."""
+    return _gram_mix((sums[at + k] - sums[at]) * powers("down", len(sums))[at])
+
+
+def _gram_mix(h: np.ndarray) -> np.ndarray:
     h ^= h >> np.uint64(29)
     h *= np.uint64(0xBF58476D1CE4E5B9)
     h ^= h >> np.uint64(32)

@@ -36,11 +36,12 @@ def cut(df: DataFrame, name: str = "table") -> DataFrame:
     return out
 
 
-def discard(df: DataFrame) -> None:
-    """Delete a table made by ``cut`` that nothing reads any more."""
-    jvm, jsc = df.sparkSession.sparkContext._jvm, df.sparkSession.sparkContext._jsc
-    path = jvm.org.apache.hadoop.fs.Path(df._cut_path)
-    path.getFileSystem(jsc.hadoopConfiguration()).delete(path, True)
+def discard(*tables: DataFrame) -> None:
+    """Delete tables made by ``cut`` that nothing reads any more."""
+    for df in tables:
+        jvm, jsc = df.sparkSession.sparkContext._jvm, df.sparkSession.sparkContext._jsc
+        path = jvm.org.apache.hadoop.fs.Path(df._cut_path)
+        path.getFileSystem(jsc.hadoopConfiguration()).delete(path, True)
 
 
 def small_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:

@@ -27,7 +27,7 @@ collide, and a collision of two different strings may remove a passage in error.
 
 from __future__ import annotations
 
-from functools import partial
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +39,8 @@ from .storage import cut, discard, small_batches
 #: A chunk ends where this many low bits of a gram's hash are zero.
 CHUNK_BITS = 7
 CHUNK_GRAM = 16
+#: Names, and later pairs, are sorted in so many slices one after the other, in batches of so many short rows.
+SLICES, SLICE_ROWS = 4, 1 << 16
 
 
 def _texts(batch: pa.RecordBatch, name: str = "text"):
@@ -69,11 +71,10 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
-def string_names(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Half-length names of all positions, and for each string the name that stands for it."""
+def string_names(data: np.ndarray, length: int) -> np.ndarray:
+    """For each string, the half-length name that stands for it."""
     half = (length + 1) // 2
-    h = B.gram_hashes(data, half)
-    return h, sliding_min(h, length - half + 1)
+    return sliding_min(B.gram_hashes(data, half), length - half + 1)
 
 
 def _rows(batches, names: list[str], one):
@@ -115,7 +116,7 @@ def _names(batches, length: int):
     def one(t, batch, i):
         if len(t) < length:
             return (np.zeros(0, np.int64),)
-        name = string_names(t, length)[1]
+        name = string_names(t, length)
         return (np.unique(name[np.append(True, name[1:] != name[:-1])]).view(np.int64),)
 
     yield from _rows(batches, ["name"], one)
@@ -141,28 +142,23 @@ def _shared_names(batches):
         yield chosen(held_names, held_ids, None)
 
 
-def _runs_at(t: np.ndarray, batch: pa.RecordBatch, i: int, length: int):
-    """Half names, and start, end, name and hash of each run of open strings with one shared name."""
-    none = np.zeros(0, np.int64)
-    shared, alive = _list(batch, "names", i), _open_positions(t, _list(batch, "repeated", i), length)
-    if not alive.any() or not len(shared):
-        return none, none, none, none, none
-    h, name = string_names(t, length)
-    name = name.view(np.int64)
-    alive &= np.isin(name, shared)
-    turn = np.append(True, name[1:] != name[:-1])
-    starts = np.flatnonzero(alive & (turn | ~np.append(False, alive[:-1])))
-    ends = np.flatnonzero(alive & (np.append(turn[1:], True) | ~np.append(alive[1:], False))) + 1
-    hashes = B.span_hashes(B.prefix_sums(t), starts, ends + length - 1).view(np.int64)
-    return h, starts, ends, name[starts], hashes
-
-
 def _runs(batches, length: int):
+    """Start, end, name and hash of each run of open strings with one shared name."""
+
     def one(t, batch, i):
-        _, _, _, name, hashes = _runs_at(t, batch, i, length)
-        return hashes, name
+        shared, alive = _list(batch, "names", i), _open_positions(t, _list(batch, "repeated", i), length)
+        if not alive.any() or not len(shared):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int32)
+        name = string_names(t, length).view(np.int64)
+        turn = np.append(True, name[1:] != name[:-1])
+        starts = np.flatnonzero(turn)
+        alive &= np.repeat(np.isin(name[starts], shared), np.diff(np.append(starts, len(name))))
+        starts = np.flatnonzero(alive & (turn | ~np.append(False, alive[:-1])))
+        ends = np.flatnonzero(alive & (np.append(turn[1:], True) | ~np.append(alive[1:], False))) + 1
+        hashes = B.span_hashes(B.prefix_sums(t), starts, ends + length - 1).view(np.int64)
+        return hashes, name[starts], starts.astype(np.int32), ends.astype(np.int32)
 
-    yield from _rows(batches, ["run", "name"], one)
+    yield from _rows(batches, ["run", "name", "start", "end"], one)
 
 
 def _spread(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -170,15 +166,28 @@ def _spread(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return np.repeat(starts - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
 
 
-def _pairs(batches, length: int):
+def _in_runs(sums: np.ndarray, batch: pa.RecordBatch, i: int, length: int) -> np.ndarray:
+    """String positions in the listed runs. A run of another row with the same id has another hash or ends beyond the text."""
+    run, starts, ends = (_list(batch, c, i) for c in ("run", "start", "end"))
+    starts, ends = starts.astype(np.int64), ends.astype(np.int64)
+    inside = ends + length <= len(sums)
+    run, starts, ends = run[inside], starts[inside], ends[inside]
+    here = B.span_hashes(sums, starts, ends + length - 1).view(np.int64) == run
+    return _spread(starts[here], ends[here])
+
+
+def _pair_at(sums: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
+    """Both half names of the strings at some positions, as one."""
     half = (length + 1) // 2
+    first, second = B.grams_at(sums, at, half), B.grams_at(sums, at + length - half, half)
+    return B.mix(first * np.uint64(0xD6E8FEB86659FD93) + second).view(np.int64)
+
 
+def _pairs(batches, length: int):
     def one(t, batch, i):
-        h, starts, ends, _, hashes = _runs_at(t, batch, i, length)
-        ask = np.isin(hashes, _list(batch, "ask", i))
-        at = _spread(starts[ask], ends[ask])
-        pair = B.mix(h[at] * np.uint64(0xD6E8FEB86659FD93) + h[at + length - half])
-        return at.astype(np.int32), pair.view(np.int64)
+        sums = B.prefix_sums(t)
+        at = _in_runs(sums, batch, i, length)
+        return at.astype(np.int32), _pair_at(sums, at, length)
 
     yield from _rows(batches, ["pos", "pair"], one)
 
@@ -196,7 +205,7 @@ def _met_before(batches):
             low[0] = first
         found = ids > np.repeat(low, np.diff(np.append(starts, len(ids))))
         last, first = pairs[-1], low[-1]
-        yield pa.RecordBatch.from_arrays([pa.array(ids[found]), pa.array(pos[found])], ["doc_id", "pos"])
+        yield pa.RecordBatch.from_arrays([pa.array(x[found]) for x in (ids, pos, pairs)], ["doc_id", "pos", "pair"])
 
 
 def runs_of(covered: np.ndarray) -> np.ndarray:
@@ -213,11 +222,11 @@ def _removed(batches, length: int, as_text: bool):
                 covered = np.zeros(len(t), bool)
             else:
                 start = ~_open_positions(t, _list(batch, "repeated", i), length)
-                if len(known := _list(batch, "known", i)):
-                    _, lo, hi, _, hashes = _runs_at(t, batch, i, length)
-                    again = np.isin(hashes, known)
-                    start[_spread(lo[again], hi[again])] = True
-                start[_list(batch, "pos", i)] = True
+                sums = B.prefix_sums(t)
+                start[_in_runs(sums, batch, i, length)] = True
+                at, pair = _list(batch, "pos", i).astype(np.int64), _list(batch, "pair", i)
+                at, pair = at[at < len(start)], pair[at < len(start)]
+                start[at[_pair_at(sums, at, length) == pair]] = True
                 step = np.zeros(len(t) + 1, np.int32)
                 step[: len(start)] += start
                 step[length : length + len(start)] -= start
@@ -232,6 +241,29 @@ def _removed(batches, length: int, as_text: bool):
         yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_bytes", "n_removed", "spans", "kept"])
 
 
+def _with_lists(texts: DataFrame, lists: DataFrame, how: str) -> DataFrame:
+    """Texts beside the lists of their documents; the lists are hashed, so that texts need no sort."""
+    return texts.join(lists.hint("shuffle_hash"), "doc_id", how)
+
+
+def _in_slices(rows: DataFrame, key: str, step, schema: str) -> list[DataFrame]:
+    """``step`` over rows grouped by key and sorted by (key, doc_id), one written table for each slice of the keys.
+
+    All rows count; slices only bound the disk that a sort holds at once.
+    """
+    spark, out = rows.sparkSession, []
+    small_batches(spark, SLICE_ROWS)
+    for k in range(SLICES):
+        part = rows.where(F.pmod(key, F.lit(SLICES)) == k).repartition(key).sortWithinPartitions(key, "doc_id")
+        out.append(cut(part.mapInArrow(step, schema), f"{key}-slice"))
+    small_batches(spark)
+    return out
+
+
+def _union(tables: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.union, tables)
+
+
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50, as_text: bool = False) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, spans, kept.
 
@@ -242,7 +274,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     A null text is empty; texts shorter than ``length`` bytes keep all. Rows with
     a null id are dropped. Ids are taken to be unique; rows that repeat an id get
-    each other's shared strings removed only if a smaller id has them too. Other
+    a string removed only if a smaller id has it too. Other
     columns are ignored. An empty table gives an empty result.
     """
     spark = docs.sparkSession
@@ -254,28 +286,34 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     repeated = cut(chunk.join(low, "chunk").where("low < doc_id").groupBy("doc_id").agg(F.collect_set("chunk").alias("repeated")), "repeated")
     discard(chunked)
 
-    named = texts.mapInArrow(partial(_names, length=length), "doc_id long, name array<long>").select("doc_id", F.explode("name").alias("name"))
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    named = cut(texts.mapInArrow(partial(_names, length=length), "doc_id long, name array<long>"), "names")
     # A name occurs once a document, so even one that a third of them share is a small part of all rows.
-    ranked = named.repartition(parts, "name").sortWithinPartitions("name", "doc_id")
-    shared = ranked.mapInArrow(_shared_names, "doc_id long, name long")
-    names = cut(shared.groupBy("doc_id").agg(F.collect_set("name").alias("names")), "shared")
-
-    rest = texts.join(repeated, "doc_id", "left")
-    live = rest.join(names, "doc_id")
-    runs = cut(live.mapInArrow(partial(_runs, length=length), "doc_id long, run array<long>, name array<long>"), "runs")
-    run = runs.select("doc_id", F.explode(F.arrays_zip("run", "name")).alias("x")).select("doc_id", "x.*")
+    shared = _in_slices(named.select("doc_id", F.explode("name").alias("name")), "name", _shared_names, "doc_id long, name long")
+    names = cut(_union(shared).groupBy("doc_id").agg(F.collect_set("name").alias("names")), "shared")
+    discard(named, *shared)
+
+    lists = names.join(repeated, "doc_id", "left")
+    runs = cut(_with_lists(texts, lists, "inner").mapInArrow(partial(_runs, length=length), "doc_id long, run array<long>, name array<long>, start array<int>, end array<int>"), "runs")
+    discard(names)
+    run = runs.select("doc_id", F.explode(F.arrays_zip("run", "name", "start", "end")).alias("x")).select("doc_id", "x.*")
     low = run.groupBy("run").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").drop("high")
-    judged = cut(run.join(low, "run", "left").select("doc_id", "run", "name", F.coalesce(F.col("low") < F.col("doc_id"), F.lit(False)).alias("known")), "judged")
+    judged = cut(run.join(low, "run", "left").withColumn("known", F.coalesce(F.col("low") < F.col("doc_id"), F.lit(False))).drop("low"), "judged")
     discard(runs)
     still = judged.where("not known").groupBy("name").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("name")
-    ask = judged.where("not known").join(still, "name").groupBy("doc_id").agg(F.collect_set("run").alias("ask"))
-    known = judged.where("known").groupBy("doc_id").agg(F.collect_set("run").alias("known"))
 
-    pairs = live.join(ask, "doc_id").mapInArrow(partial(_pairs, length=length), "doc_id long, pos array<int>, pair array<long>")
+    def by_document(some: DataFrame) -> DataFrame:
+        return some.groupBy("doc_id").agg(*(F.collect_list(c).alias(c) for c in ("run", "start", "end")))
+
+    ask = cut(by_document(judged.where("not known").join(still, "name")), "ask")
+    known = cut(by_document(judged.where("known")), "known")
+    discard(judged)
+
+    pairs = cut(_with_lists(texts, ask, "inner").mapInArrow(partial(_pairs, length=length), "doc_id long, pos array<int>, pair array<long>"), "pairs")
+    discard(ask)
     pair = pairs.select("doc_id", F.explode(F.arrays_zip("pos", "pair")).alias("x")).select("doc_id", "x.*")
-    met = pair.repartition(parts, "pair").sortWithinPartitions("pair", "doc_id").mapInArrow(_met_before, "doc_id long, pos int")
-    found = cut(met.groupBy("doc_id").agg(F.collect_list("pos").alias("pos")), "found")
+    met = _in_slices(pair, "pair", _met_before, "doc_id long, pos int, pair long")
+    discard(pairs)
+    found = _union(met).groupBy("doc_id").agg(F.collect_list("pos").alias("pos"), F.collect_list("pair").alias("pair"))
 
-    marks = repeated.join(found, "doc_id", "full").join(known.join(names, "doc_id"), "doc_id", "full")
-    return texts.join(marks, "doc_id", "left").mapInArrow(partial(_removed, length=length, as_text=as_text), f"doc_id long, n_bytes long, n_removed long, spans array<long>, kept {'string' if as_text else 'binary'}")
+    marks = repeated.join(found, "doc_id", "full").join(known, "doc_id", "full")
+    return _with_lists(texts, marks, "left").mapInArrow(partial(_removed, length=length, as_text=as_text), f"doc_id long, n_bytes long, n_removed long, spans array<long>, kept {'string' if as_text else 'binary'}")

@@ -85,6 +85,15 @@ def test_repeats_against_windows(docs, empty):
     assert text == BASE
 
 
+def test_repeats_among_rows_that_repeat_an_id(spark):
+    other = say(60)
+    rows = [(1, BASE), (2, other + " " + BASE), (2, BASE[30:]), (2, "short"), (3, other), (3, other)]
+    got = sorted((r["doc_id"], bytes(r["kept"]).decode()) for r in suffixes.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    first, rest = other + " ", [(1, BASE), (2, ""), (2, "short"), (3, ""), (3, "")]
+    assert [g for g in got if g[0] != 2 or g[1] in ("", "short")] == rest
+    assert [g[1] for g in got if g not in rest] == [first]
+
+
 def test_top_products_and_nearest(spark):
     rows = [(i, [float(x) for x in rng.normal(size=8) * (1 + i % 7)]) for i in range(400)]
     rows += [(400, None), (401, [float("nan")] * 8), (402, [0.0] * 8), (403, rows[3][1]), (404, [1.0, None] + [0.0] * 6), (405, [])]
