@@ -13,8 +13,10 @@ the full sets.
 Documents with equal sets are one class from the start. Within a band value the
 members are held against one hub, never against each other. Band values
 whose members still lie in several components after that go on to a second hub,
-and then to an exact pass over blocks of at most ``BLOCK`` members a side, so
-no link between classes is lost to the hubs.
+and then to an exact pass over blocks of about ``BLOCK`` members a side. That pass
+holds their full sets, looks at a pair only in the first band it shares, and
+returns only links that join components, at most one less than the members. So
+no component is lost to the hubs, and no pair is written before it is confirmed.
 """
 
 from __future__ import annotations
@@ -31,9 +33,11 @@ from . import buffers as B
 from .components import connected_components
 from .storage import cut, small_batches
 
+#: Four registers of 16 bits are one 64-bit word.
 REGISTERS, ROWS = 128, 4
 SKETCH_BASE, SKETCH_RATE = 1.001, 20.0
-BLOCK = 128
+#: A side of a block has about this many members, and this many shingles unless one set has more.
+BLOCK, BLOCK_SHINGLES = 1024, 1 << 20
 #: Twice the log-likelihood a pair may lie below the threshold's and still be confirmed.
 SLACK = 36.0
 _rng = np.random.default_rng(7_117_031)
@@ -142,21 +146,41 @@ def _likely(batches, percent: int):
         yield pa.RecordBatch.from_arrays([col(c).filter(pa.array(ok)) for c in ("a", "b", "n_a", "n_b")], ["a", "b", "n_a", "n_b"])
 
 
-def _block_pairs(key, table: pa.Table, percent: int) -> pa.Table:
-    """Likely pairs from different components between the two sides of one block pair."""
-    reps, n, comp, side = (table[c].to_numpy() for c in ("rep", "n", "comp", "side"))
+def _block_links(key, table: pa.Table, percent: int) -> pa.Table:
+    """Confirmed links that join components between the two sides of one block pair.
+
+    A pair whose registers agree in an earlier band is left to that band's bucket.
+    """
+    band, same = key[1].as_py(), key[2].as_py() == key[3].as_py()
+    reps, comp, side = (table[c].to_numpy() for c in ("rep", "comp", "side"))
+    comp = comp.copy()
     regs = np.frombuffer(b"".join(table["regs"].to_pylist()), np.uint16).reshape(-1, REGISTERS)
-    same = key[1].as_py() == key[2].as_py()
-    left, right = np.flatnonzero(side == 0), np.flatnonzero(side == (0 if same else 1))
-    i, j = (x.ravel() for x in np.meshgrid(left, right, indexing="ij"))
-    ok = comp[i] != comp[j]
-    if same:
-        ok &= reps[i] < reps[j]
-    i, j = i[ok], j[ok]
-    above, below = (regs[i] > regs[j]).sum(1), (regs[i] < regs[j]).sum(1)
-    ok = may_reach(above, below, REGISTERS - above - below, n[i], n[j], percent)
-    i, j = i[ok], j[ok]
-    return pa.table([pa.array(x, pa.int64()) for x in (reps[i], reps[j], n[i], n[j])], ["a", "b", "n_a", "n_b"])
+    earlier = regs.view(np.uint64)[:, :band]
+    lists = table["shingles"].combine_chunks()
+    at = lists.offsets.to_numpy()
+    size = np.diff(at)
+    values, dense = np.unique(lists.values.to_numpy(), return_inverse=True)
+    own, links = np.zeros(len(values), bool), []
+    right = np.flatnonzero(side == (0 if same else 1))
+    for i in np.flatnonzero(side == 0):
+        held = right[(comp[right] != comp[i]) & (100 * np.minimum(size[right], size[i]) >= percent * np.maximum(size[right], size[i]))]
+        held = held[held > i] if same else held
+        held = held[~(earlier[held] == earlier[i]).any(axis=1)]
+        above, below = (regs[i] > regs[held]).sum(1), (regs[i] < regs[held]).sum(1)
+        held = held[may_reach(above, below, REGISTERS - above - below, np.full(len(held), size[i]), size[held], percent)]
+        if not len(held):
+            continue
+        mine = dense[at[i] : at[i + 1]]
+        own[mine] = True
+        common = np.add.reduceat(own[np.concatenate([dense[at[j] : at[j + 1]] for j in held])], np.cumsum(size[held]) - size[held], dtype=np.int64)
+        own[mine] = False
+        linked = held[100 * common >= percent * (size[i] + size[held] - common)]
+        joined, first = np.unique(comp[linked], return_index=True)
+        links += [(reps[i], reps[j]) for j in linked[first]]
+        if len(joined):
+            comp[np.isin(comp, joined)] = comp[i]
+    a, b = np.array(links, np.int64).reshape(-1, 2).T
+    return pa.table([pa.array(a), pa.array(b)], ["a", "b"])
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
@@ -181,9 +205,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     step = 2 * ROWS
     bands = F.transform(F.sequence(F.lit(0), F.lit(REGISTERS // ROWS - 1)), lambda i: F.xxhash64(i, F.expr("regs").substr(i * step + 1, F.lit(step))))
-    banded = reps.select("rep", F.explode(bands).alias("key"))
-    buckets = banded.groupBy("key").agg(F.min("rep").alias("hub"), F.count("*").alias("members")).where("members > 1")
-    members = cut(banded.join(buckets, "key"), "members")
+    banded = reps.select("rep", "n", F.posexplode(bands).alias("band", "key"))
+    buckets = banded.groupBy("key").agg(F.min("rep").alias("hub"), F.count("*").alias("members"), F.sum("n").alias("total")).where("members > 1")
+    members = cut(banded.drop("n").join(buckets, "key"), "members")
 
     ids = members.select(F.col("rep").alias("doc_id")).distinct()
     chosen = texts.join(ids, "doc_id").mapInArrow(partial(_sets, width=width), "rep long, shingles array<long>")
@@ -209,8 +233,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     comps = cut(connected_components(links, "a", "b"), "components")
 
     def open_buckets() -> DataFrame:
-        placed = members.where("members > 2").join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("comp"))
-        state = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("members")).where("lo < hi")
+        placed = members.where("members > 2").join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("key", "band", "rep", "members", "total", F.coalesce("component", "rep").alias("comp"))
+        state = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
         return cut(placed.join(state, "key"), "open")
 
     todo = open_buckets()
@@ -220,16 +244,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         comps = cut(connected_components(links, "a", "b"), "components")
         todo = open_buckets()
     if not todo.isEmpty():
-        blocks = F.greatest(F.lit(1), F.ceil(F.col("members") / BLOCK)).cast("int")
-        dealt = todo.join(sketch, "rep").withColumn("nb", blocks).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("nb")).cast("int"))
+        blocks = F.ceil(F.greatest(F.col("members") / BLOCK, F.col("total") / BLOCK_SHINGLES)).cast("int")
+        dealt = todo.join(sketch.select("rep", "regs"), "rep").join(sets, "rep").withColumn("nb", blocks).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("nb")).cast("int"))
         dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-        dealt = dealt.select("key", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side"), "rep", "n", "comp", "regs")
+        dealt = dealt.select("key", "band", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side"), "rep", "comp", "regs", "shingles")
 
         def within(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-            return _block_pairs(key, table, percent)
+            return _block_links(key, table, percent)
 
-        pairs = dealt.groupBy("key", "p", "q").applyInArrow(within, "a long, b long, n_a long, n_b long")
-        links = links.union(confirmed(pairs.select("a", "b").distinct()))
+        links = links.union(cut(dealt.groupBy("key", "band", "p", "q").applyInArrow(within, "a long, b long"), "links"))
         comps = cut(connected_components(links, "a", "b"), "components")
 
     label = reps.select("digest", "rep").join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component_id"))

@@ -58,6 +58,25 @@ def test_a_chain_of_near_copies_is_one_component(spark):
     assert got == {0}
 
 
+def test_a_family_about_the_threshold_in_small_blocks(spark, monkeypatch):
+    monkeypatch.setattr(setsketch, "BLOCK", 32)
+    base, rows = rng.choice(WORDS, 150), []
+    for i in range(220):
+        words = base.copy()
+        words[rng.choice(150, rng.integers(2, 7), replace=False)] = "x%d" % i
+        rows.append((i, " ".join(words)))
+    sets = [shingles(t, 4) for _, t in rows]
+    root = list(range(len(sets)))
+    for i in range(len(sets)):
+        for j in range(i):
+            if root[i] != root[j] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                a, b = root[i], root[j]
+                root = [min(a, b) if r in (a, b) else r for r in root]
+    assert 1 < len(set(root)) < len(root)
+    got = {r["doc_id"]: r["component_id"] for r in setsketch.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), width=4).collect()}
+    assert [got[i] for i in range(len(root))] == root
+
+
 def test_sketches_merge_and_estimate():
     a, b = (np.arange(x, x + 2000).astype(np.uint64) for x in (1, 401))
     mixed = setsketch.B.mix(np.union1d(a, b))
