@@ -1,11 +1,13 @@
 """License scans by sentence rules, in DataFrame operations alone.
 
-A text is cut into sentences, each is normalised and looked up in a table of known
-licence sentences; a rule is an ordered list of such sentences. Hits of a document are
-matched against the rules step by step: a match is a chain of hits in order, each at
-most ``gap`` sentences after the one before. Sentences can be many, but only the
-known ones leave the scan, as the table of rules (``MAX_SENTENCES`` at most) is
-broadcast.
+A text is cut into parts at stops and line ends, each is normalised, and every run of
+parts is looked up in a table of known licence sentences: a sentence may hold stops and be
+wrapped over lines, with comment marks on each. Runs are joined only as far as the longest
+known sentence reaches, from parts that begin with the first word of one. A rule is an
+ordered list of such sentences. Hits of a document are matched against the rules step by
+step: a match is a chain of hits in order, each at most ``gap`` parts after the end of the
+one before. Parts can be many, but only the known sentences leave the scan, as the table of
+rules (``MAX_SENTENCES`` at most) is broadcast.
 """
 
 from __future__ import annotations
@@ -53,7 +55,7 @@ RULES = [
     ("Unlicense", "unlicense-text", ["This is free and unencumbered software released into the public domain."]),
 ]
 
-#: A sentence ends at a line's end, or after a stop that white space follows.
+#: A part ends at a line's end, or after a stop that white space follows.
 BREAK = r"\n+|(?<=[.!?:;])[ \t\r]+"
 OTHER = r"[^a-z0-9]+"
 
@@ -73,31 +75,51 @@ def rule_steps(spark: SparkSession, rules=None) -> DataFrame:
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules=None, gap: int = 3) -> DataFrame:
-    """Every rule match: doc_id, license, rule, first_sentence and last_sentence (numbers from 0).
+    """Every rule match: doc_id, license, rule, first_sentence and last_sentence (numbers of the text's parts from 0).
 
     Null and empty texts match nothing, nor does a null id. Rows that repeat an id and
     a text give one match each rule and place, as do rows that repeat only the id. Of chains that
-    end at the same sentence the one that starts latest is meant. Other columns are ignored.
+    end at the same part the one that starts latest is meant. Other columns are ignored.
     """
     steps = rule_steps(docs.sparkSession, rules)
     known = steps.select("sentence").distinct()
-    sentences = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.posexplode(F.split(F.col(text_col), BREAK)).alias("pos", "raw")).where("doc_id is not null")
-    # Of the many sentences only those go on that are as long as some known one.
-    shortest, longest = steps.agg(F.min(F.length("sentence")), F.max(F.length("sentence"))).first()
-    hits = sentences.where(F.length("raw") >= (shortest or 0)).where(F.length(normalised("raw")) <= (longest or 0)).withColumn("sentence", normalised("raw"))
-    hits = hits.join(F.broadcast(known), "sentence").select("doc_id", "pos", "sentence").distinct()
-    at = hits.join(F.broadcast(steps), "sentence").select("doc_id", "rule", "license", "steps", "step", "pos")
-    # Steps follow one another within the gap, so chains grow by looking back: the latest
-    # hit of the step before is the best one to continue from. Hits of one document and rule are few,
-    # and a document is one row of the input.
+    # Joins begin at parts whose first word begins a known sentence; no part in them has less than a word.
+    sizes = steps.agg(F.max(F.length("sentence")), F.max(F.size(F.split("sentence", " "))), F.collect_set(F.substring_index("sentence", " ", 1))).first()
+    longest, words, firsts = sizes[0] or 0, sizes[1] or 1, sorted(sizes[2])
+    parts = F.transform(F.split(F.col(text_col), BREAK), lambda t, i: F.struct(i.alias("pos"), normalised(t).alias("said")))
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.filter(parts, lambda x: x["said"] != "").alias("parts")).where("doc_id is not null")
+
+    def longer(have, x, y):
+        text = F.concat(F.element_at(have["joins"], -1)["sentence"], F.lit(" "), y["said"])
+        more = F.concat(have["joins"], F.array(F.struct(x["pos"].alias("pos"), y["pos"].alias("end"), text.alias("sentence"))))
+        fits = have["open"] & (F.length(text) <= longest)
+        return F.when(fits, F.struct(more.alias("joins"), fits.alias("open"))).otherwise(F.struct(have["joins"].alias("joins"), F.lit(False).alias("open")))
+
+    def joins(x, i):
+        """x alone and with each number of parts behind it, as far as some known sentence can reach."""
+        alone = F.array(F.struct(x["pos"].alias("pos"), x["pos"].alias("end"), x["said"].alias("sentence")))
+        begins = F.substring_index(x["said"], " ", 1).isin(firsts) & (F.length(x["said"]) <= longest)
+        rest = F.slice("parts", i + 2, F.lit(words - 1))
+        return F.when(begins, F.aggregate(rest, F.struct(alone.alias("joins"), F.lit(True).alias("open")), lambda have, y: longer(have, x, y), lambda have: have["joins"]))
+
+    found = F.flatten(F.filter(F.transform("parts", joins), lambda x: x.isNotNull()))
+    hits = texts.select("doc_id", F.explode(found).alias("x")).select("doc_id", "x.*")
+    hits = hits.join(F.broadcast(known), "sentence").select("doc_id", "pos", "end", "sentence").distinct()
+    at = hits.join(F.broadcast(steps), "sentence").select("doc_id", "rule", "license", "steps", "step", "pos", "end")
+    # Steps follow one another within the gap, so chains grow by looking back from a hit's first part
+    # to last parts: the latest hit of the step before is the best one to continue from. Hits of one
+    # document and rule are few, and a document is one row of the input.
     most = max([len(s) for _, _, s in (RULES if rules is None else rules)], default=0)
-    chains = at.withColumn("start", F.when(F.col("step") == 0, F.col("pos")))
+    sides = F.array(F.struct(F.col("pos").alias("at"), F.lit(True).alias("begins")), F.struct(F.col("end").alias("at"), F.lit(False).alias("begins")))
+    chains = at.select("*", F.inline(sides)).withColumn("start", F.when(F.col("step") == 0, F.col("pos")))
     for i in range(1, most):
-        near = Window.partitionBy("doc_id", "rule").orderBy("pos").rangeBetween(-gap, -1)
-        before = F.max(F.when((F.col("step") == i - 1) & F.col("start").isNotNull(), F.struct("pos", "start"))).over(near)
-        chains = chains.withColumn("start", F.when(F.col("step") == i, before["start"]).otherwise(F.col("start")))
-    done = chains.where((F.col("step") == F.col("steps") - 1) & F.col("start").isNotNull())
-    return done.select("doc_id", "license", "rule", F.col("start").alias("first_sentence"), F.col("pos").alias("last_sentence"))
+        near = Window.partitionBy("doc_id", "rule").orderBy("at").rangeBetween(-gap, -1)
+        before = F.max(F.when((F.col("step") == i - 1) & ~F.col("begins") & F.col("start").isNotNull(), F.struct("at", "start"))).over(near)
+        chains = chains.withColumn("before", F.when((F.col("step") == i) & F.col("begins"), before["start"]))
+        same = F.max("before").over(Window.partitionBy("doc_id", "rule", "step", "pos", "end"))
+        chains = chains.withColumn("start", F.when(F.col("step") == i, same).otherwise(F.col("start")))
+    done = chains.where(~F.col("begins") & (F.col("step") == F.col("steps") - 1) & F.col("start").isNotNull())
+    return done.select("doc_id", "license", "rule", F.col("start").alias("first_sentence"), F.col("end").alias("last_sentence"))
 
 
 def oracle() -> str:

@@ -182,6 +182,14 @@ def test_license_sequences(spark, empty):
     assert licenses.scan(empty).collect() == []
 
 
+def test_every_license_rule_finds_its_own_text(spark):
+    rows = [(i, "Intro. " + "\n".join(sentences) + "\nend") for i, (_, _, sentences) in enumerate(licenses.RULES)]
+    got = {(r["doc_id"], r["rule"]): r for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all((i, rule) in got for i, (_, rule, _) in enumerate(licenses.RULES))
+    i = next(i for i, (_, rule, _) in enumerate(licenses.RULES) if rule == "mpl-2.0-notice")
+    assert (got[i, "mpl-2.0-notice"]["first_sentence"], got[i, "mpl-2.0-notice"]["last_sentence"]) == (1, 3)
+
+
 def test_mix_meets_targets_and_repeats(docs, empty):
     one = sorted(tuple(r) for r in mixing.taken_words(docs).collect())
     assert one == sorted(tuple(r) for r in mixing.taken_words(docs).collect())
