@@ -190,6 +190,20 @@ def test_every_license_rule_finds_its_own_text(spark):
     assert (got[i, "mpl-2.0-notice"]["first_sentence"], got[i, "mpl-2.0-notice"]["last_sentence"]) == (1, 3)
 
 
+def test_wrapped_and_commented_licenses(spark):
+    import textwrap
+
+    rows, want = [], []
+    for i, (_, rule, sentences) in enumerate(licenses.RULES):
+        for j, (width, mark) in enumerate([(72, ""), (60, " * "), (40, "# "), (25, "//  ")]):
+            lines = [mark + x for s in sentences for x in [*textwrap.wrap(s, width), ""]]
+            rows.append((10 * i + j, "\n".join(["/*", *lines, " */", "x = 1;"])))
+            want.append((10 * i + j, rule))
+    rows.append((900, "Permission is hereby granted,\nfree of cost.\nLicensed under\nthe MIT\nother License."))
+    got = {(r["doc_id"], r["rule"]) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert set(want) <= got and not [g for g in got if g[0] == 900]
+
+
 def test_mix_meets_targets_and_repeats(docs, empty):
     one = sorted(tuple(r) for r in mixing.taken_words(docs).collect())
     assert one == sorted(tuple(r) for r in mixing.taken_words(docs).collect())
