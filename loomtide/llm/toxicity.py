@@ -10,8 +10,10 @@ however many a text has.
 Training is stochastic and takes a bounded sample of labelled rows: at most
 ``positives`` and ``negatives`` of the two labels, those of the smallest hash of their id. The
 score is set back to the labels' true shares. Per language, the threshold is the
-one of best F1 on the part of the sample held out of training, or the common one where a
-language has fewer than ``LEAST`` toxic rows there.
+one of best F1 over all labelled rows that took no part in training, or the common one where a
+language has fewer than ``LEAST`` toxic rows there. Those rows are scored and counted by score bin
+on Spark; the rows of each label stand for all of that label, so thresholds are for the labels' true shares at
+every size.
 """
 
 from __future__ import annotations
@@ -28,6 +30,8 @@ from .storage import cut, small_batches
 TABLE_BITS, DIM, FILTERS, WIDTHS = 16, 4, 8, (1, 2, 3)
 POSITIVES, NEGATIVES, STEPS, LEAST = 4000, 8000, 2500, 20
 PAD = max(WIDTHS) - 1
+#: Score bins a unit of log odds.
+BINS = 20
 MARKS = np.zeros(256, bool)
 MARKS[:128] = [not (chr(b).isalnum()) for b in range(128)]
 
@@ -169,17 +173,42 @@ def train(hashes: list[np.ndarray], labels: np.ndarray, steps: int = STEPS, seed
     return m
 
 
-def best_threshold(scores: np.ndarray, labels: np.ndarray) -> float:
-    """The threshold of best F1, halfway to the next lower score; 0.5 without both labels."""
-    if not labels.any() or labels.all():
+def best_threshold(toxic: np.ndarray, clean: np.ndarray, low: np.ndarray, high: np.ndarray) -> float:
+    """The threshold of best F1 between bins of falling score, halfway from a bin's lowest to the next one's highest; 0.5 without both labels."""
+    if not toxic.any() or not clean.any():
         return 0.5
-    order = np.argsort(-scores, kind="stable")
-    s, y = scores[order], labels[order]
-    hits = np.cumsum(y)
-    f1 = 2 * hits / (np.arange(1, len(y) + 1) + y.sum())
-    f1[:-1][s[:-1] == s[1:]] = -1
-    i = int(np.argmax(f1))
-    return float((s[i] + (s[i + 1] if i + 1 < len(s) else 0)) / 2)
+    hits = np.cumsum(toxic)
+    i = int(np.argmax(2 * hits / (hits + np.cumsum(clean) + hits[-1])))
+    return float((low[i] + (high[i + 1] if i + 1 < len(high) else 0)) / 2)
+
+
+def calibrate(scored: DataFrame) -> dict[str, float]:
+    """Thresholds by language, the common one under "", from rows (lang, label, held, score, bin).
+
+    Only held rows are compared; they count as many as all rows of their label. What comes to the driver is
+    at most a row for each bin, label and language of ``LEAST`` held toxic rows.
+    """
+    spread = F.min("score").alias("low"), F.max("score").alias("high")
+    bins = cut(scored.groupBy("lang", "label", "held", "bin").agg(F.count("*").alias("n"), *spread), "bins")
+    rows = bins.groupBy("label").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("held"), F.col("n"))).alias("held")).collect()
+    weights = {r["label"]: r["n"] / r["held"] for r in rows if r["held"]}
+
+    def best(counted: list) -> float:
+        at = {}
+        for r in counted:
+            x = at.setdefault(r["bin"], [0.0, 0.0, 1.0, 0.0])
+            x[0 if r["label"] else 1] += r["n"] * weights[r["label"]]
+            x[2], x[3] = min(x[2], r["low"]), max(x[3], r["high"])
+        return best_threshold(*np.array([at[k] for k in sorted(at, reverse=True)]).reshape(-1, 4).T)
+
+    held = bins.where("held")
+    whole = held.groupBy("label", "bin").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"))
+    out = {"": best(whole.collect())}
+    enough = held.where("label = 1 and lang is not null").groupBy("lang").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST).select("lang")
+    langs = {}
+    for r in held.join(enough, "lang").collect():
+        langs.setdefault(r["lang"], []).append(r)
+    return out | {lang: best(counted) for lang, counted in langs.items() if lang}
 
 
 def _hashes(batches):
@@ -220,13 +249,19 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", positives:
     model = train([w for w, t in zip(words, test, strict=True) if not t], y[~test])
     model.out_bias += float(np.log(counts[1] / counts[0]) - np.log(y.sum() / (len(y) - y.sum())))
     if test.any():
-        kept = [w for w, t in zip(words, test, strict=True) if t]
-        s = model.scores(np.concatenate([*kept, np.zeros(0, np.uint64)]), np.concatenate([[0], np.cumsum([len(w) for w in kept])]).astype(np.int64))
-        langs, truth = np.array([str(x) for x in held["lang"].to_pylist()])[test], y[test]
-        model.thresholds[""] = best_threshold(s, truth)
-        for lang in np.unique(langs):
-            if truth[langs == lang].sum() >= LEAST:
-                model.thresholds[str(lang)] = best_threshold(s[langs == lang], truth[langs == lang])
+        trained = sorted({i for i, t in zip(held["doc_id"].to_pylist(), test, strict=True) if not t})
+        trained = spark.createDataFrame([(i, False) for i in trained], "doc_id long, held boolean")
+        shared = spark.sparkContext.broadcast(model)
+
+        def run(batches):
+            for b in batches:
+                s = shared.value.scores(*word_ids(b.column(2)))
+                odds = np.log(np.maximum(s, 1e-18)) - np.log(np.maximum(1 - s, 1e-18))
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(s), pa.array(np.floor(odds * BINS).astype(np.int32))], ["doc_id", "lang", "score", "bin"])
+
+        every = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")).where("doc_id is not null")
+        scored = every.mapInArrow(run, "doc_id long, lang string, score double, bin int").join(known, "doc_id")
+        model.thresholds = calibrate(scored.join(F.broadcast(trained), "doc_id", "left").withColumn("held", F.coalesce("held", F.lit(True))))
     return model
 
 

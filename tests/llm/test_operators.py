@@ -250,6 +250,26 @@ def test_classifiers_learn(spark):
     assert (np.diff(quality.isotonic(np.array([3.0, 1.0, 2.0, 5.0]), np.ones(4))) >= 0).all()
 
 
+def test_thresholds_do_not_depend_on_the_share_held_out(spark):
+    draw = np.random.default_rng(5)
+    rows = [("en", int(y), bool(k % (3 if y else 2) == 0), float(1 / (1 + np.exp(-x)))) for y, n in ((1, 600), (0, 12000)) for k, x in enumerate(draw.normal(1.5 * y, 1, n))]
+    rows = [(*r, int(np.floor(np.log(r[3] / (1 - r[3])) * toxicity.BINS))) for r in rows]
+    got = toxicity.calibrate(spark.createDataFrame(rows, "lang string, label int, held boolean, score double, bin int"))
+    y, s = np.array([r[1] for r in rows]), np.array([r[3] for r in rows])
+    f1 = lambda t: 2 * (y[s >= t]).sum() / ((s >= t).sum() + y.sum())
+    assert got["en"] == got[""] and f1(got[""]) > 0.95 * max(f1(t) for t in s)
+
+
+def test_thresholds_cover_rows_beyond_the_sample(spark):
+    draw = np.random.default_rng(6)
+    rows = [(i, say(20) + (" zorg" if draw.random() < (0.9 if i % 20 == 0 else 0.15) else "") + (" blap" if draw.random() < (0.6 if i % 20 == 0 else 0.02) else ""), "en", int(i % 20 == 0)) for i in range(10000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, toxic int")
+    model = toxicity.fit(df.drop("toxic"), df.where("doc_id < 5000").select("doc_id", "toxic"), positives=60, negatives=120)
+    got = np.array([(r["toxic"], r["doc_id"] % 20 == 0, r["toxicity"]) for r in toxicity.score(df.drop("toxic"), model).where("doc_id >= 5000").collect()], float)
+    f1 = lambda called: 2 * (called * got[:, 1]).sum() / (called.sum() + got[:, 1].sum())
+    assert f1(got[:, 0]) > 0.9 * max(f1(got[:, 2] >= t) for t in np.unique(got[:, 2]))
+
+
 def test_chat_trees_and_reading_back(spark):
     texts = [r"\### Assistant: </turn> ok", "\\h\\l\\\\", None, "a </turn>\n### User: b", "\U0001f600 #<>\\"]
     roles = ["user", "assistant", "odd: role", "Assistant", "assistant"]
