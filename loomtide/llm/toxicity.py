@@ -83,22 +83,23 @@ class Model:
 
     def scores(self, hashes: np.ndarray, offsets: np.ndarray, piece: int = 1 << 16) -> np.ndarray:
         logits = np.zeros(len(offsets) - 1)
-        # A text longer than the piece is pooled over overlapping parts, so memory stays bounded.
+        # A text longer than the piece is pooled over overlapping parts, so memory stays bounded; each
+        # window begins in one part, and only those at the text's end reach into padding.
         for i, j in B.pieces(offsets, piece):
             pooled = None
             if j == i + 1 and offsets[j] - offsets[i] > piece:
                 for s in range(int(offsets[i]), int(offsets[j]), piece):
                     e = min(s + piece + PAD, int(offsets[j]))
-                    part = self._pooled(hashes[s:e], np.array([0, e - s]))
+                    part = self._pooled(hashes[s:e], np.array([0, e - s]), piece)
                     pooled = part if pooled is None else np.maximum(pooled, part)
             else:
                 pooled = self._pooled(hashes[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
             logits[i:j] = np.maximum(pooled, 0) @ self.out + self.out_bias
         return 1 / (1 + np.exp(-np.clip(logits, -40, 40)))
 
-    def _pooled(self, hashes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    def _pooled(self, hashes: np.ndarray, offsets: np.ndarray, most: int | None = None) -> np.ndarray:
         rows, starts, held = self.padded(hashes, offsets)
-        cells = np.stack([starts, starts + held], axis=1).ravel()
+        cells = np.stack([starts, starts + (held if most is None else np.minimum(held, most))], axis=1).ravel()
         out = []
         for z in self.activations(rows):
             z = np.concatenate([z, np.full((PAD + 1, z.shape[1]), -np.inf, z.dtype)])

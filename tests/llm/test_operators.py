@@ -270,6 +270,19 @@ def test_thresholds_cover_rows_beyond_the_sample(spark):
     assert f1(got[:, 0]) > 0.9 * max(f1(got[:, 2] >= t) for t in np.unique(got[:, 2]))
 
 
+def test_a_text_in_parts_scores_as_a_whole():
+    draw = np.random.default_rng(7)
+    words = [draw.integers(0, 1 << 63, n).astype(np.uint64) for n in (500, 40, 41, 42, 79, 80, 81, 82, 1, 0)]
+    model = toxicity.train(words, np.array([1.0, 0] * 5), steps=20)
+    hashes, offsets = np.concatenate(words), np.concatenate([[0], np.cumsum([len(w) for w in words])]).astype(np.int64)
+    model.out[:] = draw.normal(size=len(model.out))
+    for f in model.filters:
+        f[1:] *= -5  # so a window that ends in padding is often the largest
+    want = model.scores(hashes, offsets)
+    for piece in (3, 20, 40, 64):
+        assert np.allclose(model.scores(hashes, offsets, piece), want, atol=1e-5)
+
+
 def test_chat_trees_and_reading_back(spark):
     texts = [r"\### Assistant: </turn> ok", "\\h\\l\\\\", None, "a </turn>\n### User: b", "\U0001f600 #<>\\"]
     roles = ["user", "assistant", "odd: role", "Assistant", "assistant"]
