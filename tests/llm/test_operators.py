@@ -294,3 +294,21 @@ def test_chat_trees_and_reading_back(spark):
     assert len(spans) == 2 and "\U0001f600" in spans[1]
     assert {r["leaf"] for r in chat.conversations(nodes, branches=2).where("tree = 1").collect()} == {4, 10}
     assert chat.conversations(nodes.limit(0)).collect() == []
+
+
+def test_stages_keep_rows_of_null_and_repeated_ids(spark):
+    import corpus_pipeline as cp
+
+    kinds = "doc_id long, text string, lang string, source string, n_chars int"
+    texts = [say(60) for _ in range(7)]
+    row = lambda i, t: (i, t, "en", "s", len(t))
+    rows = [row(1, texts[0]), row(2, texts[1]), row(2, texts[1]), row(2, texts[2]), row(None, texts[3]), row(None, texts[4]), row(None, texts[4]), row(3, texts[0] + " tail"), row(4, ""), row(4, "")]
+    once = cp.drop_near_duplicates(spark, spark.createDataFrame(rows, kinds), "")
+    distinct = sorted({(r[0], r[1]) for r in rows} - {(3, texts[0] + " tail")}, key=str)
+    assert sorted([(r["doc_id"], r["text"]) for r in once.collect()], key=str) == distinct
+    cut = cp.cut_repeats(spark, spark.createDataFrame(rows[:4] + rows[4:6] + [row(9, texts[3]), row(None, texts[5]), row(None, texts[5])], kinds), "")
+    got = cut.collect()
+    assert len(got) == 9 and sum(r["doc_id"] is None for r in got) == 4 and sum(r["doc_id"] == 2 for r in got) == 3
+    assert sum(r["text"] == texts[5] for r in got) == 1 and sum(r["text"] == texts[1] for r in got) == 1
+    mixed = [r["text"] for r in cp.mix_sources(spark, spark.createDataFrame([row(1, texts[0]), row(1, texts[0]), row(None, texts[1]), row(None, texts[2]), row(5, texts[3])], kinds), "").collect()]
+    assert {t: mixed.count(t) for t in set(mixed)} == {texts[0]: 2, texts[1]: 1, texts[2]: 1, texts[3]: 1}
