@@ -69,8 +69,6 @@ def compress(df: DataFrame, x: str, precision: float = 1.0, max_degree: int = 20
                 w = fit_polynomial(u, v[lo:hi], degree)
                 if np.abs(np.vander(u, degree + 1, increasing=True) @ w - v[lo:hi]).max() <= precision:
                     return scale, degree, w
-                if degree >= 4 and hi - lo > 4 * max_degree:
-                    break
             return None
 
         while lo < len(t):

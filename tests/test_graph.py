@@ -107,3 +107,14 @@ def test_p_value_and_updates(spark):
     assert abs(profile.p_value(0.5, 10) - 0.1411) < 1e-3 and profile.p_value(1.0, 5) == 0
     m = spark.createDataFrame([('{"id":"a","time":3,"values":{"t":{"value":"1","type":"INT"}}}',), ("{}",), ("bad",), (None,)], "value string")
     assert [tuple(r) for r in tabular.parse_updates(m).collect()] == [("a", 3, "t", "1", "INT")]
+
+
+def test_compress_tries_every_degree_at_every_length(spark):
+    import numpy as np
+
+    from loomtide.operators import series
+
+    v = 100 * np.polynomial.chebyshev.chebval(np.linspace(-1, 1, 200), [0] * 6 + [1])
+    df = spark.createDataFrame([(1, i, float(x)) for i, x in enumerate(v)], "id long, time long, value double")
+    got = series.compress(df, "value", precision=1.0, max_degree=6).collect()
+    assert [(r["start"], r["stop"], r["degree"]) for r in got] == [(0, 199, 6)]
