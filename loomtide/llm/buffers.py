@@ -3,6 +3,9 @@
 A column of texts is one byte buffer with offsets. Words, grams and their
 64-bit hashes come from whole-array operations on it, in pieces of about
 ``PIECE`` bytes (a longer text is a piece of its own).
+
+Hashes read eight bytes at a time and mix the state after each, so there is no sum in which
+the differences of two texts could cancel.
 """
 
 from __future__ import annotations
@@ -13,28 +16,15 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-PIECE = 1 << 19
-BASE = np.uint64(0x9E3779B97F4A7C15)
-BASE_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+PIECE = 1 << 17
+STEP = np.uint64(0x9E3779B97F4A7C15)
+#: Masks of the first 0 to 8 bytes of a little-endian word.
+FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
-_rng = np.random.default_rng(20240117)
-BYTE_VALUE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
-
-_powers = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
-
-
-def powers(kind: str, n: int) -> np.ndarray:
-    have = _powers[kind]
-    if len(have) < n:
-        size = max(n, 2 * PIECE)
-        steps = np.full(size, BASE if kind == "up" else BASE_INV, np.uint64)
-        steps[0] = 1
-        have = _powers[kind] = np.cumprod(steps, dtype=np.uint64)
-    return have[:n]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -84,38 +74,60 @@ def word_spans(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray = S
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def prefix_sums(data: np.ndarray) -> np.ndarray:
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(BYTE_VALUE[data] * powers("up", len(data)), out=sums[1:])
-    return sums
+def eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each position as an integer, with zeros behind the end."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    return np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
 
 
-def span_hashes(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Hashes of byte spans; equal spans have equal hashes wherever they stand."""
-    h = (sums[ends] - sums[starts]) * powers("down", len(sums))[starts]
-    return mix(h ^ ((ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)))
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """Hashes of byte spans; equal spans have equal hashes wherever they stand, and other seeds give independent ones."""
+    words, at, left = eights(data), starts.astype(np.int64), (ends - starts).astype(np.int64)
+    h = mix((left.astype(np.uint64) + np.uint64(2 * seed + 1)) * STEP)
+    live = None
+    while True:
+        w = words[at] & FIRST[np.minimum(left, 8)]
+        if live is None:
+            h = mix(h ^ w)
+        else:
+            h[live] = mix((h[live] * STEP) ^ w)
+        more = np.flatnonzero(left > 8)
+        if not len(more):
+            return h
+        live = more if live is None else live[more]
+        at, left = at[more] + 8, left[more] - 8
 
 
 def gram_hashes(data: np.ndarray, k: int) -> np.ndarray:
-    """Hash of the k bytes from each position that has as many."""
-    if len(data) < k:
+    """Hash of the k bytes, 8 or more, from each position that has as many."""
+    n = len(data) - k + 1
+    if n <= 0:
         return np.zeros(0, np.uint64)
-    sums = prefix_sums(data)
-    h = sums[k:] - sums[:-k]
-    h *= powers("down", len(h))
-    return _gram_mix(h)
+    words = np.array(eights(data))
+    h = words[:n] * STEP
+    for at in [*range(8, k - 7, 8), *([k - 8] if k % 8 else [])]:
+        h ^= h >> np.uint64(29)
+        h += words[at : at + n]
+        h *= np.uint64(0xBF58476D1CE4E5B9)
+    h ^= h >> np.uint64(32)
+    h *= np.uint64(0x94D049BB133111EB)
+    h ^= h >> np.uint64(29)
+    return h
 
 
-def grams_at(sums: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
-    """``gram_hashes`` of some positions, from the text's ``prefix_sums``."""
-    return _gram_mix((sums[at + k] - sums[at]) * powers("down", len(sums))[at])
+def distinct(x: np.ndarray) -> np.ndarray:
+    """The different values in order, by sorting."""
+    x = np.sort(x)
+    return x[np.append(True, x[1:] != x[:-1])] if len(x) else x
 
 
-def _gram_mix(h: np.ndarray) -> np.ndarray:
-    h ^= h >> np.uint64(29)
-    h *= np.uint64(0xBF58476D1CE4E5B9)
-    h ^= h >> np.uint64(32)
-    return h
+def distinct_counts(hashes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """How many different hashes each of less than 2^18 groups of neighbours has, by their upper 46 bits."""
+    groups = np.repeat(np.arange(len(offsets) - 1, dtype=np.uint64), np.diff(offsets))
+    keys = np.sort((groups << np.uint64(46)) | (hashes[offsets[0] : offsets[-1]] >> np.uint64(18)))
+    new = np.append(True, keys[1:] != keys[:-1]) if len(keys) else np.zeros(0, bool)
+    return np.bincount((keys[new] >> np.uint64(46)).astype(np.int64), minlength=len(offsets) - 1)
 
 
 def signed(x: np.ndarray) -> pa.Array:

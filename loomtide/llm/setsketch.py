@@ -101,7 +101,7 @@ def shingle_sets(column: pa.Array, width: int) -> Iterator[np.ndarray]:
     for i, j in B.pieces(offsets):
         part, off = B.LOWER[data[offsets[i] : offsets[j]]], offsets[i : j + 1] - offsets[i]
         starts, ends, first = B.word_spans(part, off)
-        h = B.span_hashes(B.prefix_sums(part), starts, ends)
+        h = B.span_hashes(part, starts, ends)
         m = max(0, len(h) - width + 1)
         grams = np.zeros(m, np.uint64)
         for k in range(width if m else 0):
@@ -110,7 +110,7 @@ def shingle_sets(column: pa.Array, width: int) -> Iterator[np.ndarray]:
         for d in range(j - i):
             lo, hi = first[d], first[d + 1]
             if hi - lo >= width:
-                yield np.unique(grams[lo : hi - width + 1])
+                yield B.distinct(grams[lo : hi - width + 1])
             elif hi > lo:
                 short = (h[lo:hi] * SHINGLE_MULTIPLIERS[: hi - lo]).sum(dtype=np.uint64) + np.uint64(hi - lo)
                 yield B.mix(np.array([short], np.uint64) ^ np.uint64(0xA5A5A5A5A5A5A5A5))

@@ -7,20 +7,22 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-ARROW_ROWS = 512
+ARROW_ROWS, ARROW_BYTES = 512, 8 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder named by the session; one of our own only where none is set."""
+    """The shared folder named by the session; one of our own only in local mode where none is set."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not named:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="loomtide-"))
         named = sc.getCheckpointDir()
     return named.rstrip("/")
 
 
-def cut(df: DataFrame, name: str = "table") -> DataFrame:
+def cut(df: DataFrame, name: str = "table", compression: str | None = None) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back.
 
     The result depends on files alone, so a lost executor costs a re-read and
@@ -28,22 +30,24 @@ def cut(df: DataFrame, name: str = "table") -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/loomtide/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    # The plans behind the table are garbage now; collecting it lets Spark drop their shuffle files.
-    spark.sparkContext._jvm.System.gc()
+    df.write.parquet(path, compression=compression)
     out = spark.read.schema(df.schema).parquet(path)
     out._cut_path = path
     return out
 
 
 def discard(*tables: DataFrame) -> None:
-    """Delete tables made by ``cut`` that nothing reads any more."""
+    """Delete tables made by ``cut`` that nothing reads any more, and let Spark drop shuffle files that no plan refers to."""
+    spark = SparkSession.active()
+    jvm, jsc = spark.sparkContext._jvm, spark.sparkContext._jsc
     for df in tables:
-        jvm, jsc = df.sparkSession.sparkContext._jvm, df.sparkSession.sparkContext._jsc
         path = jvm.org.apache.hadoop.fs.Path(df._cut_path)
         path.getFileSystem(jsc.hadoopConfiguration()).delete(path, True)
+    # Spark's cleaner works when the plans behind the files are collected.
+    jvm.System.gc()
 
 
 def small_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
-    """Bound the rows of an Arrow batch, as single texts may be very long."""
+    """Bound the rows and bytes of an Arrow batch in this session, as single texts may be very long."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))

@@ -1,64 +1,42 @@
-"""Repeated passages by distributed prefix doubling.
-
-A prefix-doubling round names the first h bytes from every position, sorts the
-pairs (name at p, name at p + h) and so names 2h bytes, and drops positions
-whose name is unique. Two rounds reach the threshold of ``length`` bytes: names
-of the first half are 64-bit hashes (a name need not be a dense rank to be
-paired), and the pair of half names stands for the whole. Work is kept off unique
-positions by four exact reductions, each over all text:
-
-1. A document is cut at content-defined places into chunks of a hundred bytes or
-   two. A chunk that, with the ``length`` - 1 bytes after it, also stands in a
-   smaller document repeats wholly. Only the other chunks' positions go on. (The
-   smallest document that holds a string never loses it in this step, so later
-   steps find the same smallest document.)
-2. Round one: among the half names inside a ``length``-byte string, the smallest
-   stands for it. Equal strings agree on it, so it occurs in as many
-   documents. Spark sorts (name, document) and keeps names with two or more documents.
-3. The strings that share such a name side by side are a run; a run that also
-   stands in a smaller document repeats wholly, as a chunk does, and names are
-   asked again for two or more documents among the runs that are left.
-4. Round two: Spark sorts (pair of half names, document) of the positions that are left,
-   so each pair's smallest document comes first.
-
-Names, pairs, chunks and runs are 64-bit hashes: among n of them about n^2 / 2^65
-collide, and a collision of two different strings may remove a passage in error.
+"""Repeated passages by distributed prefix doubling over sampled positions.
+
+A prefix-doubling round ranks the first h bytes from every position, sorts pairs of ranks h apart
+and so ranks 2h bytes, and drops positions whose rank is unique. Two rounds reach a threshold of
+``length`` bytes:
+
+1. Every ``length``-byte string is stood for by one half-length string inside it, its anchor: the one of
+   least hash, the leftmost on a tie. Equal strings have equal anchors at equal places, so positions that are no
+   anchor need no rank; about two in ``length`` / 2 are left. Anchors are sorted by hash, and those
+   that only one document has are dropped: no string around them can repeat.
+2. An anchor that is left is paired with the half-length strings on both sides. Strings through it are sorted
+   by their bytes, offset by offset, and each learns the smallest document that has it.
+
+Texts are packed into blocks of about ``BLOCK_BYTES``, anchors and their neighbourhoods into rows for each range of
+hashes, so Spark shuffles packed rows and a task sorts numpy arrays of bounded size. Within a block equal
+neighbourhoods are one entry, so a passage that a third of all documents share is one entry a block. Anchors that
+stand at more than ``HOT`` places are dealt by whole strings instead, so a short common
+phrase in ever new surroundings is spread over all tasks.
+
+Round 1 compares 64-bit hashes and may keep an anchor too many; round 2 compares bytes, so what is removed is equal byte for byte.
 """
 
 from __future__ import annotations
 
-from functools import partial, reduce
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from . import buffers as B
 from .storage import cut, discard, small_batches
 
-#: A chunk ends where this many low bits of a gram's hash are zero.
-CHUNK_BITS = 7
-CHUNK_GRAM = 16
-#: Names, and later pairs, are sorted in so many slices one after the other, in batches of so many short rows.
-SLICES, SLICE_ROWS = 4, 1 << 16
-
-
-def _texts(batch: pa.RecordBatch, name: str = "text"):
-    data, offsets = B.text_bytes(batch.column(batch.schema.get_field_index(name)))
-    for i in range(len(offsets) - 1):
-        yield data[offsets[i] : offsets[i + 1]]
-
-
-def chunk_starts(data: np.ndarray, windows: int) -> np.ndarray:
-    """Starts of the chunks of the ``windows`` string positions; the first is 0."""
-    h = B.gram_hashes(data, CHUNK_GRAM)[:windows]
-    cuts = np.flatnonzero((h >> np.uint64(64 - CHUNK_BITS)) == 0)
-    return np.concatenate([np.zeros(1, np.int64), cuts[cuts > 0]])
-
-
-def chunk_hashes(data: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
-    ends = np.append(starts[1:], len(data) - length + 1) + length - 1
-    return B.span_hashes(B.prefix_sums(data), starts, ends)
+BLOCK_BYTES = 2 << 20
+#: Anchors and entries that a task sorts at once, and places beyond which an anchor is dealt by whole strings.
+PART_ANCHORS, PART_ENTRIES, HOT = 1 << 20, 1 << 14, 1 << 14
+PLACE = np.uint64((1 << 20) - 1)
+MANY = 1 << 15
 
 
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -71,249 +49,324 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
-def string_names(data: np.ndarray, length: int) -> np.ndarray:
-    """For each string, the half-length name that stands for it."""
-    half = (length + 1) // 2
-    return sliding_min(B.gram_hashes(data, half), length - half + 1)
+def anchored(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+    """Runs of strings with one anchor: document, start, end, place of the anchor and its hash.
 
+    Start and end are places of strings in ``data``; strings never cross documents.
+    """
+    half = (length + 1) // 2
+    starts, places, hashes = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+    for s in range(0, len(data) - length + 1, B.PIECE):
+        h = B.gram_hashes(data[s : s + B.PIECE + length - 1], half)
+        # The place breaks ties of the upper 44 bits, so one minimum gives both.
+        at = (sliding_min((h & ~PLACE) | np.arange(len(h), dtype=np.uint64), length - half + 1) & PLACE).astype(np.int64)
+        turn = np.append(True, at[1:] != at[:-1])
+        first = offsets[:-1]
+        turn[first[(first >= s) & (first < s + len(at))] - s] = True
+        turn = np.flatnonzero(turn)
+        starts.append(s + turn)
+        places.append(s + at[turn])
+        hashes.append(h[at[turn]])
+    start, place, name = np.concatenate(starts), np.concatenate(places), np.concatenate(hashes)
+    doc = np.searchsorted(offsets, start, "right") - 1
+    new = np.append(True, (place[1:] != place[:-1]) | (doc[1:] != doc[:-1])) if len(start) else np.zeros(0, bool)
+    doc, start, place, name = doc[new], start[new], place[new], name[new]
+    end = np.minimum(np.append(start[1:], len(data)), offsets[doc + 1] - length + 1)
+    held = end > start
+    return doc[held], start[held], end[held], place[held], name[held]
+
+
+def _blocks(batches, size: int):
+    """Documents packed into rows of about ``size`` bytes: block, ids, sizes, data, n_bytes."""
+    task, made = TaskContext.get().partitionId(), 0
+    ids, sizes, parts, held = [], [], [], 0
+
+    def row():
+        data = b"".join(parts)
+        cols = [pa.array([(task << 32) + made], pa.int64()), *(pa.array([np.concatenate(x).astype(np.int64).tobytes()], pa.binary()) for x in (ids, sizes)), pa.array([data], pa.binary()), pa.array([len(data)], pa.int64())]
+        return pa.RecordBatch.from_arrays(cols, ["block", "ids", "sizes", "data", "n_bytes"])
 
-def _rows(batches, names: list[str], one):
-    """One row per document: its id and list columns made by ``one`` from its bytes."""
     for batch in batches:
-        made = [one(t, batch, i) for i, t in enumerate(_texts(batch))]
-        offsets = pa.array(np.cumsum([0, *(len(m[0]) for m in made)]).astype(np.int32))
-        lists = [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([*(m[c] for m in made), np.zeros(0, made[0][c].dtype if made else np.int64)]))) for c in range(len(names))]
-        yield pa.RecordBatch.from_arrays([batch.column(0), *lists], ["doc_id", *names])
-
-
-def _chunks(batches, length: int):
-    def one(t, batch, i):
-        if len(t) < length:
-            return (np.zeros(0, np.int64),)
-        return (chunk_hashes(t, chunk_starts(t, len(t) - length + 1), length).view(np.int64),)
-
-    yield from _rows(batches, ["chunk"], one)
-
-
-def _list(batch, name: str, i: int) -> np.ndarray:
-    column = batch.column(batch.schema.get_field_index(name))
-    return np.zeros(0, np.int64) if not column[i].is_valid else column[i].values.to_numpy(zero_copy_only=False)
-
-
-def _open_positions(t: np.ndarray, known: np.ndarray, length: int) -> np.ndarray:
-    """String positions outside the chunks whose hash is among ``known``."""
-    windows = len(t) - length + 1
-    if windows <= 0:
-        return np.zeros(0, bool)
-    if not len(known):
-        return np.ones(windows, bool)
-    starts = chunk_starts(t, windows)
-    left = ~np.isin(chunk_hashes(t, starts, length).view(np.int64), known)
-    return np.repeat(left, np.diff(np.append(starts, windows)))
-
-
-def _names(batches, length: int):
-    def one(t, batch, i):
-        if len(t) < length:
-            return (np.zeros(0, np.int64),)
-        name = string_names(t, length)
-        return (np.unique(name[np.append(True, name[1:] != name[:-1])]).view(np.int64),)
-
-    yield from _rows(batches, ["name"], one)
-
-
-def _shared_names(batches):
-    """Of rows with each name in one partition and sorted by (name, doc_id), those with a neighbour of the same name."""
-    held_names, held_ids, before = np.zeros(0, np.int64), np.zeros(0, np.int64), None
-
-    def chosen(names, ids, after):
-        same = names[1:] == names[:-1]
-        keep = np.append(before == names[0], same) | np.append(same, after == names[-1])
-        return pa.RecordBatch.from_arrays([pa.array(ids[keep]), pa.array(names[keep])], ["doc_id", "name"])
-
+        data, offsets = B.text_bytes(batch.column(1))
+        doc_ids = batch.column(0).to_numpy()
+        for i, j in B.pieces(offsets, size // 4):
+            ids.append(doc_ids[i:j])
+            sizes.append(np.diff(offsets[i : j + 1]))
+            parts.append(data[offsets[i] : offsets[j]].tobytes())
+            held += len(parts[-1])
+            if held >= size or sum(map(len, ids)) >= 1 << 16:
+                yield row()
+                made, held, ids, sizes, parts = made + 1, 0, [], [], []
+    if ids:
+        yield row()
+
+
+class _Block:
+    """One packed row, read."""
+
+    def __init__(self, row: dict):
+        self.block = row["block"]
+        self.ids = np.frombuffer(row["ids"], np.int64)
+        self.sizes = np.frombuffer(row["sizes"], np.int64)
+        self.offsets = np.concatenate([[0], np.cumsum(self.sizes)])
+        self.data = np.frombuffer(row["data"], np.uint8)
+
+
+def _opened(batches):
     for batch in batches:
-        names, ids = (batch.column(batch.schema.get_field_index(c)).to_numpy() for c in ("name", "doc_id"))
-        if len(names) and len(held_names):
-            yield chosen(held_names, held_ids, names[0])
-            before = held_names[-1]
-        if len(names):
-            held_names, held_ids = names.copy(), ids.copy()
-    if len(held_names):
-        yield chosen(held_names, held_ids, None)
-
-
-def _runs(batches, length: int):
-    """Start, end, name and hash of each run of open strings with one shared name."""
-
-    def one(t, batch, i):
-        shared, alive = _list(batch, "names", i), _open_positions(t, _list(batch, "repeated", i), length)
-        if not alive.any() or not len(shared):
-            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int32)
-        name = string_names(t, length).view(np.int64)
-        turn = np.append(True, name[1:] != name[:-1])
-        starts = np.flatnonzero(turn)
-        alive &= np.repeat(np.isin(name[starts], shared), np.diff(np.append(starts, len(name))))
-        starts = np.flatnonzero(alive & (turn | ~np.append(False, alive[:-1])))
-        ends = np.flatnonzero(alive & (np.append(turn[1:], True) | ~np.append(alive[1:], False))) + 1
-        hashes = B.span_hashes(B.prefix_sums(t), starts, ends + length - 1).view(np.int64)
-        return hashes, name[starts], starts.astype(np.int32), ends.astype(np.int32)
-
-    yield from _rows(batches, ["run", "name", "start", "end"], one)
-
-
-def _spread(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    sizes = ends - starts
-    return np.repeat(starts - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
-
-
-def _in_runs(sums: np.ndarray, batch: pa.RecordBatch, i: int, length: int) -> np.ndarray:
-    """String positions in the listed runs. A run of another row with the same id has another hash or ends beyond the text."""
-    run, starts, ends = (_list(batch, c, i) for c in ("run", "start", "end"))
-    starts, ends = starts.astype(np.int64), ends.astype(np.int64)
-    inside = ends + length <= len(sums)
-    run, starts, ends = run[inside], starts[inside], ends[inside]
-    here = B.span_hashes(sums, starts, ends + length - 1).view(np.int64) == run
-    return _spread(starts[here], ends[here])
-
-
-def _pair_at(sums: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
-    """Both half names of the strings at some positions, as one."""
-    half = (length + 1) // 2
-    first, second = B.grams_at(sums, at, half), B.grams_at(sums, at + length - half, half)
-    return B.mix(first * np.uint64(0xD6E8FEB86659FD93) + second).view(np.int64)
-
-
-def _pairs(batches, length: int):
-    def one(t, batch, i):
-        sums = B.prefix_sums(t)
-        at = _in_runs(sums, batch, i, length)
-        return at.astype(np.int32), _pair_at(sums, at, length)
-
-    yield from _rows(batches, ["pos", "pair"], one)
-
+        for i in range(batch.num_rows):
+            row = batch.slice(i, 1).to_pylist()[0]
+            yield _Block(row), row
+
+
+def _parts_of(sorted_keys: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """The key ranges that have keys, and where each starts (one more at the end)."""
+    part = ((sorted_keys >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
+    starts = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(part) else np.zeros(0, np.int64)
+    return part[starts].astype(np.int64), np.append(starts, len(part))
+
+
+def _anchors(batches, length: int, parts: int):
+    """A block's different anchor hashes by range, with the number of places; ``MANY`` is added where several documents have one."""
+    for b, _ in _opened(batches):
+        doc, _, _, _, name = anchored(b.data, b.offsets, length)
+        order = np.argsort(name, kind="stable")
+        name, ids = name[order], b.ids[doc[order]]
+        starts = np.flatnonzero(np.append(True, name[1:] != name[:-1])) if len(name) else np.zeros(0, np.int64)
+        counts = np.diff(np.append(starts, len(name)))
+        several = np.minimum.reduceat(ids, starts) < np.maximum.reduceat(ids, starts) if len(starts) else np.zeros(0, bool)
+        marks = (np.minimum(counts, MANY - 1) + MANY * several).astype(np.uint16)
+        name = name[starts]
+        part, at = _parts_of(name, parts)
+        cut_at = lambda x: pa.array([x[lo:hi].tobytes() for lo, hi in zip(at, at[1:], strict=False)], pa.binary())  # noqa: E731, B023
+        yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(np.full(len(part), b.block)), cut_at(name), cut_at(marks)], ["part", "block", "names", "marks"])
+
+
+def _shared(table: pa.Table, most: int) -> pa.Table:
+    """For each block of a range the anchors that several documents have, and a byte each that is 1 for hot ones, at more than ``most`` places."""
+    rows = [np.frombuffer(x, np.uint64) for x in table["names"].to_pylist()]
+    names, marks = np.concatenate(rows), np.frombuffer(b"".join(table["marks"].to_pylist()), np.uint16)
+    order = np.argsort(names, kind="stable")
+    starts = np.flatnonzero(np.append(True, names[order][1:] != names[order][:-1]))
+    blocks = np.diff(np.append(starts, len(names)))
+    shared = (blocks > 1) | (np.maximum.reduceat(marks[order], starts) >= MANY)
+    hot = np.add.reduceat((marks[order] & (MANY - 1)).astype(np.int64), starts) > most
+    # Of each place in the rows: 0 alone, 1 shared, 2 hot and shared.
+    state = np.zeros(len(names), np.uint8)
+    state[order] = np.repeat(shared.astype(np.uint8) * (1 + hot.astype(np.uint8)), blocks)
+    out, at = [[], [], []], 0
+    for block, own in zip(table["block"].to_pylist(), rows, strict=True):
+        s = state[at : at + len(own)]
+        at += len(own)
+        if s.any():
+            out[0].append(block)
+            out[1].append(own[s > 0].tobytes())
+            out[2].append((s[s > 0] - 1).tobytes())
+    return pa.table([pa.array(out[0], pa.int64()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.binary())], ["block", "names", "hot"])
+
+
+class _Entries:
+    """The different neighbourhoods of a block's shared anchors, and the places where each stands.
+
+    A neighbourhood is a row of ``length`` bytes and the rest of an anchor's reach on the left, with zeros outside its strings,
+    then the first and last offset of a string in it.
+    """
 
-def _met_before(batches):
-    """Of rows with each pair in one partition and sorted by (pair, doc_id), those whose pair has a smaller document."""
-    last, first = None, None
-    for batch in batches:
-        if not batch.num_rows:
+    def __init__(self, b: _Block, row: dict, length: int):
+        reach = length // 2
+        names, hot = np.frombuffer(b"".join(row["names"] or []), np.uint64), np.frombuffer(b"".join(row["hot"] or []), np.uint8)
+        order = np.argsort(names)
+        names, hot = names[order], hot[order]
+        doc, start, end, place, name = anchored(b.data, b.offsets, length)
+        at = np.minimum(np.searchsorted(names, name), max(len(names) - 1, 0))
+        known = names[at] == name if len(names) else np.zeros(len(name), bool)
+        doc, start, end, place, name, is_hot = doc[known], start[known], end[known], place[known], name[known], hot[at[known]] > 0 if len(names) else hot.astype(bool)
+        # The strings of hot anchors stand for themselves.
+        n = np.where(is_hot, end - start, 1)
+        pick = np.repeat(np.arange(len(n)), n)
+        step = np.arange(len(pick)) - np.repeat(np.cumsum(n) - n, n)
+        doc, place, key, is_hot = doc[pick], place[pick], name[pick].copy(), is_hot[pick]
+        start = start[pick] + step
+        end = np.where(is_hot, start + 1, end[pick])
+        key[is_hot] = B.span_hashes(b.data, start[is_hot], start[is_hot] + length, 1)
+        low, high = start - place + reach, end - 1 - place + reach
+        width = self.width(length)
+        rows = np.zeros((len(key), width), np.uint8)
+        padded = np.concatenate([np.zeros(reach, np.uint8), b.data, np.zeros(width, np.uint8)])
+        column = np.arange(length + reach)
+        for i in range(0, len(key), 1 << 15):
+            s = slice(i, i + (1 << 15))
+            inside = (column >= low[s, None]) & (column < high[s, None] + length)
+            rows[s, : length + reach] = padded[place[s, None] + column] * inside
+        rows[:, length + reach], rows[:, length + reach + 1] = low, high
+        words, h = rows.view(np.uint64), np.zeros(len(key), np.uint64)
+        for c in range(words.shape[1]):
+            h = B.mix((h * B.STEP) ^ words[:, c])
+        order = np.lexsort((h, key))
+        rows, key, h = rows[order], key[order], h[order]
+        new = np.append(True, (key[1:] != key[:-1]) | (h[1:] != h[:-1]) | (rows[1:] != rows[:-1]).any(axis=1)) if len(key) else np.zeros(0, bool)
+        self.first = np.flatnonzero(new)
+        self.rows, self.key = rows[self.first], key[self.first]
+        self.doc, self.base = doc[order], place[order] - reach
+        self.ids = b.ids[self.doc]
+        self.count = np.diff(np.append(self.first, len(key)))
+        self.low = np.minimum.reduceat(self.ids, self.first) if len(key) else np.zeros(0, np.int64)
+        self.offsets = self.rows[:, length + reach : length + reach + 2].astype(np.int64)
+
+    @staticmethod
+    def width(length: int) -> int:
+        return -(-(length + length // 2 + 2) // 8) * 8
+
+
+def _entries(batches, length: int, parts: int):
+    for b, row in _opened(batches):
+        e = _Entries(b, row, length)
+        part, at = _parts_of(e.key, parts)
+        cut_at = lambda x: pa.array([x[lo:hi].tobytes() for lo, hi in zip(at, at[1:], strict=False)], pa.binary())  # noqa: E731, B023
+        yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(np.full(len(part), b.block)), pa.array(at[:-1].astype(np.int64)), cut_at(e.rows), cut_at(e.low)], ["part", "block", "at", "rows", "lows"])
+
+
+def string_lows(rows: np.ndarray, lows: np.ndarray, length: int) -> np.ndarray:
+    """For each neighbourhood and offset, the smallest document that has the string there; the row's own where there is no string."""
+    reach = length // 2
+    best = np.repeat(lows[:, None], reach + 1, axis=1)
+    first, last = rows[:, length + reach], rows[:, length + reach + 1]
+    words = np.ndarray((len(rows), rows.shape[1] - 7), "<u8", rows, strides=(rows.shape[1], 1))
+    loads = [*range(0, length - 7, 8), *([length - 8] if length % 8 else [])]
+    for j in range(reach + 1):
+        at = np.flatnonzero((first <= j) & (j <= last))
+        if len(at) < 2:
             continue
-        ids, pos, pairs = (batch.column(batch.schema.get_field_index(c)).to_numpy() for c in ("doc_id", "pos", "pair"))
-        starts = np.flatnonzero(np.append(True, pairs[1:] != pairs[:-1]))
-        low = ids[starts].copy()
-        if last is not None and pairs[0] == last:
-            low[0] = first
-        found = ids > np.repeat(low, np.diff(np.append(starts, len(ids))))
-        last, first = pairs[-1], low[-1]
-        yield pa.RecordBatch.from_arrays([pa.array(x[found]) for x in (ids, pos, pairs)], ["doc_id", "pos", "pair"])
+        h = np.zeros(len(at), np.uint64)
+        for load in loads:
+            h = B.mix((h * B.STEP) ^ words[at, j + load])
+        order = np.argsort(h, kind="stable")
+        at, h = at[order], h[order]
+        start = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+        size = np.diff(np.append(start, len(h)))
+        several = np.repeat(size > 1, size)
+        low, leader = np.repeat(np.minimum.reduceat(lows[at], start), size)[several], np.repeat(at[start], size)[several]
+        at = at[several]
+        best[at, j] = low
+        if not (words[at, j + loads[0]] == words[leader, j + loads[0]]).all() or not (rows[at, j : j + length] == rows[leader, j : j + length]).all():
+            _by_bytes(rows, lows, best, j, length, np.flatnonzero((first <= j) & (j <= last)))
+    return best
+
+
+def _by_bytes(rows, lows, best, j: int, length: int, at: np.ndarray) -> None:
+    """The same for one offset without hashes, for the case that two strings share one."""
+    found: dict[bytes, int] = {}
+    texts = [rows[i, j : j + length].tobytes() for i in at]
+    for t, low in zip(texts, lows[at].tolist(), strict=True):
+        found[t] = min(low, found.get(t, low))
+    best[at, j] = [found[t] for t in texts]
+
+
+def _met(table: pa.Table, length: int) -> pa.Table:
+    """For each block the entries that a smaller document shares: entry, first and last offset, and that document."""
+    width = _Entries.width(length)
+    counts = np.array([len(x) // 8 for x in table["lows"].to_pylist()], np.int64)
+    rows = np.frombuffer(b"".join(table["rows"].to_pylist()), np.uint8).reshape(-1, width)
+    lows = np.frombuffer(b"".join(table["lows"].to_pylist()), np.int64)
+    best = string_lows(rows, lows, length)
+    entry = np.arange(len(rows)) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(table["at"].to_numpy(), counts)
+    turn = np.concatenate([np.ones((len(best), 1), bool), best[:, 1:] != best[:, :-1]], axis=1)
+    i, j = np.nonzero(turn)
+    end = np.append(j[1:], 0)
+    end = np.where(end == 0, best.shape[1], end) - 1
+    met = best[i, j] < lows[i]
+    i, j, end = i[met], j[met], end[met]
+    found = np.stack([entry[i], j, end, best[i, j]], axis=1).astype(np.int64)
+    at = np.searchsorted(i, np.append(0, np.cumsum(counts)))
+    held = np.flatnonzero(np.diff(at))
+    blocks = table["block"].to_numpy()
+    return pa.table([pa.array(blocks[held]), pa.array([found[at[k] : at[k + 1]].tobytes() for k in held], pa.binary())], ["block", "met"])
+
+
+def _spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    return np.repeat(starts - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
 
 
-def runs_of(covered: np.ndarray) -> np.ndarray:
-    """(start, end) of the maximal runs of true cells, one row each."""
-    edges = np.diff(np.concatenate([[0], covered.astype(np.int8), [0]]))
-    return np.stack([np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)], axis=1)
+def covered_bytes(b: _Block, row: dict, length: int) -> np.ndarray:
+    """The bytes of a block that a smaller document has in a string of ``length``."""
+    e = _Entries(b, row, length)
+    met = np.frombuffer(b"".join(row["met"] or []), np.int64).reshape(-1, 4)
+    # Against the other documents of the block, then against other blocks.
+    own = np.repeat(np.arange(len(e.first)), e.count)
+    here = np.flatnonzero(e.ids > e.low[own])
+    starts, ends = [e.base[here] + e.offsets[own[here], 0]], [e.base[here] + e.offsets[own[here], 1] + length]
+    sizes = e.count[met[:, 0]]
+    at, which = _spread(e.first[met[:, 0]], sizes), np.repeat(np.arange(len(met)), sizes)
+    there = e.ids[at] > met[which, 3]
+    at, which = at[there], which[there]
+    starts.append(e.base[at] + met[which, 1])
+    ends.append(e.base[at] + met[which, 2] + length)
+    step = np.bincount(np.concatenate(starts), minlength=len(b.data) + 1) - np.bincount(np.concatenate(ends), minlength=len(b.data) + 1)
+    return np.cumsum(step)[:-1] > 0
 
 
 def _removed(batches, length: int, as_text: bool):
-    for batch in batches:
-        spans, kept, removed = [], [], []
-        for i, t in enumerate(_texts(batch)):
-            if len(t) < length:
-                covered = np.zeros(len(t), bool)
-            else:
-                start = ~_open_positions(t, _list(batch, "repeated", i), length)
-                sums = B.prefix_sums(t)
-                start[_in_runs(sums, batch, i, length)] = True
-                at, pair = _list(batch, "pos", i).astype(np.int64), _list(batch, "pair", i)
-                at, pair = at[at < len(start)], pair[at < len(start)]
-                start[at[_pair_at(sums, at, length) == pair]] = True
-                step = np.zeros(len(t) + 1, np.int32)
-                step[: len(start)] += start
-                step[length : length + len(start)] -= start
-                covered = np.cumsum(step)[:-1] > 0
-            spans.append(runs_of(covered).ravel())
-            kept.append(t[~covered].tobytes())
-            removed.append(int(covered.sum()))
-        offsets = pa.array(np.cumsum([0, *map(len, spans)]).astype(np.int32))
-        flat = pa.array(np.concatenate([*spans, np.zeros(0, np.int64)]).astype(np.int64))
-        cols = [batch.column(0), pa.array([len(t) for t in _texts(batch)], pa.int64()), pa.array(removed, pa.int64()), pa.ListArray.from_arrays(offsets, flat)]
-        cols.append(pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string()) if as_text else pa.array(kept, pa.binary()))
+    for b, row in _opened(batches):
+        covered = covered_bytes(b, row, length)
+        n_removed = np.diff(np.concatenate([[0], np.cumsum(covered)])[b.offsets])
+        fresh = np.append(True, ~covered[:-1]) if len(covered) else covered
+        final = np.append(~covered[1:], True) if len(covered) else covered
+        inner = b.offsets[(b.offsets > 0) & (b.offsets < len(covered))]
+        fresh[b.offsets[:-1][b.sizes > 0]] = True
+        final[inner - 1] = True
+        start, end = np.flatnonzero(covered & fresh), np.flatnonzero(covered & final) + 1
+        doc = np.searchsorted(b.offsets, start, "right") - 1
+        spans = np.stack([start - b.offsets[doc], end - b.offsets[doc]], axis=1).ravel()
+        span_at = np.concatenate([[0], np.cumsum(2 * np.bincount(doc, minlength=len(b.ids)))]).astype(np.int32)
+        kept_at = np.concatenate([[0], np.cumsum(b.sizes - n_removed)])
+        kept = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(b.ids), [None, pa.py_buffer(kept_at.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(b.data[~covered]))])
+        if as_text:
+            kept = pa.array([k.decode("utf-8", "ignore") for k in kept.to_pylist()], pa.string())
+        cols = [pa.array(b.ids), pa.array(b.sizes), pa.array(n_removed.astype(np.int64)), pa.ListArray.from_arrays(pa.array(span_at), pa.array(spans)), kept.cast(pa.string() if as_text else pa.binary())]
         yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_bytes", "n_removed", "spans", "kept"])
 
 
-def _with_lists(texts: DataFrame, lists: DataFrame, how: str) -> DataFrame:
-    """Texts beside the lists of their documents; the lists are hashed, so that texts need no sort."""
-    return texts.join(lists.hint("shuffle_hash"), "doc_id", how)
-
-
-def _in_slices(rows: DataFrame, key: str, step, schema: str) -> list[DataFrame]:
-    """``step`` over rows grouped by key and sorted by (key, doc_id), one written table for each slice of the keys.
-
-    All rows count; slices only bound the disk that a sort holds at once.
-    """
-    spark, out = rows.sparkSession, []
-    small_batches(spark, SLICE_ROWS)
-    for k in range(SLICES):
-        part = rows.where(F.pmod(key, F.lit(SLICES)) == k).repartition(key).sortWithinPartitions(key, "doc_id")
-        out.append(cut(part.mapInArrow(step, schema), f"{key}-slice"))
-    small_batches(spark)
-    return out
-
-
-def _union(tables: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.union, tables)
-
-
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50, as_text: bool = False) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, spans, kept.
 
-    Removes every byte covered by a ``length``-byte string that also starts in a
+    Removes every byte covered by a ``length``-byte string (16 or more, at most 128) that also starts in a
     document with a smaller id, all judged on the input. spans lists start and
     end of the maximal removed runs in turn; kept holds the other bytes, or with
     ``as_text`` the text they make without characters of which only a part is left.
 
-    A null text is empty; texts shorter than ``length`` bytes keep all. Rows with
-    a null id are dropped. Ids are taken to be unique; rows that repeat an id get
+    A null text is empty; texts shorter than ``length`` bytes keep all; a long text is one block of its own and
+    read whole. Rows with a null id are dropped. Ids are taken to be unique; rows that repeat an id get
     a string removed only if a smaller id has it too. Other
     columns are ignored. An empty table gives an empty result.
     """
+    if not 16 <= length <= 128:
+        raise ValueError("length must be from 16 to 128 bytes")
     spark = docs.sparkSession
     small_batches(spark)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).where("doc_id is not null")
-    chunked = cut(texts.mapInArrow(partial(_chunks, length=length), "doc_id long, chunk array<long>"), "chunks")
-    chunk = chunked.select("doc_id", F.explode("chunk").alias("chunk"))
-    low = chunk.groupBy("chunk").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").drop("high")
-    repeated = cut(chunk.join(low, "chunk").where("low < doc_id").groupBy("doc_id").agg(F.collect_set("chunk").alias("repeated")), "repeated")
-    discard(chunked)
-
-    named = cut(texts.mapInArrow(partial(_names, length=length), "doc_id long, name array<long>"), "names")
-    # A name occurs once a document, so even one that a third of them share is a small part of all rows.
-    shared = _in_slices(named.select("doc_id", F.explode("name").alias("name")), "name", _shared_names, "doc_id long, name long")
-    names = cut(_union(shared).groupBy("doc_id").agg(F.collect_set("name").alias("names")), "shared")
-    discard(named, *shared)
-
-    lists = names.join(repeated, "doc_id", "left")
-    runs = cut(_with_lists(texts, lists, "inner").mapInArrow(partial(_runs, length=length), "doc_id long, run array<long>, name array<long>, start array<int>, end array<int>"), "runs")
-    discard(names)
-    run = runs.select("doc_id", F.explode(F.arrays_zip("run", "name", "start", "end")).alias("x")).select("doc_id", "x.*")
-    low = run.groupBy("run").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").drop("high")
-    judged = cut(run.join(low, "run", "left").withColumn("known", F.coalesce(F.col("low") < F.col("doc_id"), F.lit(False))).drop("low"), "judged")
-    discard(runs)
-    still = judged.where("not known").groupBy("name").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("name")
-
-    def by_document(some: DataFrame) -> DataFrame:
-        return some.groupBy("doc_id").agg(*(F.collect_list(c).alias(c) for c in ("run", "start", "end")))
-
-    ask = cut(by_document(judged.where("not known").join(still, "name")), "ask")
-    known = cut(by_document(judged.where("known")), "known")
-    discard(judged)
-
-    pairs = cut(_with_lists(texts, ask, "inner").mapInArrow(partial(_pairs, length=length), "doc_id long, pos array<int>, pair array<long>"), "pairs")
-    discard(ask)
-    pair = pairs.select("doc_id", F.explode(F.arrays_zip("pos", "pair")).alias("x")).select("doc_id", "x.*")
-    met = _in_slices(pair, "pair", _met_before, "doc_id long, pos int, pair long")
-    discard(pairs)
-    found = _union(met).groupBy("doc_id").agg(F.collect_list("pos").alias("pos"), F.collect_list("pair").alias("pair"))
-
-    marks = repeated.join(found, "doc_id", "full").join(known, "doc_id", "full")
-    return _with_lists(texts, marks, "left").mapInArrow(partial(_removed, length=length, as_text=as_text), f"doc_id long, n_bytes long, n_removed long, spans array<long>, kept {'string' if as_text else 'binary'}")
+    blocks = cut(texts.mapInArrow(partial(_blocks, size=BLOCK_BYTES), "block long, ids binary, sizes binary, data binary, n_bytes long"), "blocks", compression="zstd")
+    total = blocks.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]
+
+    hot = HOT
+
+    def shared(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        return _shared(table, hot)
+
+    def met(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        return _met(table, length)
+
+    parts = max(1, -(-4 * total // (length * PART_ANCHORS)))
+    small_batches(spark, 8)
+    packed = blocks.drop("n_bytes")
+    anchors = packed.mapInArrow(partial(_anchors, length=length, parts=parts), "part long, block long, names binary, marks binary")
+    common = anchors.groupBy("part").applyInArrow(shared, "block long, names binary, hot binary")
+    common = cut(common.groupBy("block").agg(F.collect_list("names").alias("names"), F.collect_list("hot").alias("hot")), "anchors")
+    known = common.agg(F.coalesce(F.sum(F.aggregate("names", F.lit(0).cast("long"), lambda n, x: n + F.length(x))), F.lit(0))).first()[0] // 8
+    discard()
+
+    parts = max(1, -(-known // PART_ENTRIES))
+    entries = packed.join(common, "block").mapInArrow(partial(_entries, length=length, parts=parts), "part long, block long, at long, rows binary, lows binary")
+    found = cut(entries.groupBy("part").applyInArrow(met, "block long, met binary").groupBy("block").agg(F.collect_list("met").alias("met")), "met")
+    discard()
+    out = packed.join(common, "block", "left").join(found, "block", "left")
+    return out.mapInArrow(partial(_removed, length=length, as_text=as_text), f"doc_id long, n_bytes long, n_removed long, spans array<long>, kept {'string' if as_text else 'binary'}")

@@ -96,7 +96,7 @@ def test_repeats_against_windows(docs, empty):
             if w in seen:
                 cover[k : k + 50] = True
         seen.update(windows)
-        want[i] = (bytes(np.frombuffer(x, np.uint8)[~cover]), int(cover.sum()), len(suffixes.runs_of(cover)))
+        want[i] = (bytes(np.frombuffer(x, np.uint8)[~cover]), int(cover.sum()), int((np.diff(np.append(0, cover.astype(int))) == 1).sum()))
     got = {r["doc_id"]: (bytes(r["kept"]), r["n_removed"], len(r["spans"]) // 2) for r in suffixes.remove_repeats(docs).collect()}
     assert got == want
     assert suffixes.remove_repeats(empty).collect() == []
@@ -104,6 +104,54 @@ def test_repeats_against_windows(docs, empty):
     assert text == BASE
 
 
+def brute_removed(texts, length=50):
+    """(kept bytes, removed) of each text, in the order of their ids."""
+    seen, out = set(), []
+    for t in texts:
+        x = (t or "").encode()
+        cover = np.zeros(len(x), bool)
+        windows = [x[k : k + length] for k in range(len(x) - length + 1)]
+        for k, w in enumerate(windows):
+            if w in seen:
+                cover[k : k + length] = True
+        seen.update(windows)
+        out.append((bytes(np.frombuffer(x, np.uint8)[~cover]), int(cover.sum())))
+    return out
+
+
+def thue_morse(n, zero, one):
+    return "".join(one if bin(i).count("1") % 2 else zero for i in range(n))
+
+
+def test_unlike_texts_of_equal_structure_are_left_alone(spark):
+    """Sums of powers of an odd number modulo 2^64 cannot tell these apart."""
+    pairs = [(thue_morse(4096, "a", "b"), thue_morse(4096, "c", "d")), (thue_morse(2048, "ax", "by"), thue_morse(2048, "cx", "dy"))]
+    for left, right in pairs:
+        got = suffixes.remove_repeats(spark.createDataFrame([(1, left), (2, right)], "doc_id long, text string")).collect()
+        assert {r["doc_id"]: r["n_removed"] for r in got} == {1: 0, 2: 0}
+    words = [(1, thue_morse(2048, "a", "b")), (2, thue_morse(2048, "b", "a")), (3, thue_morse(2048, "a", "b").upper())]
+    got = {r["doc_id"]: r["component_id"] for r in setsketch.near_duplicates(spark.createDataFrame(words, "doc_id long, text string"), width=4).collect()}
+    assert got == {1: 1, 2: 2, 3: 1}
+
+
+def test_repeats_over_many_blocks_and_parts(spark, monkeypatch):
+    for name, value in (("BLOCK_BYTES", 3000), ("PART_ANCHORS", 64), ("PART_ENTRIES", 32), ("HOT", 3)):
+        monkeypatch.setattr(suffixes, name, value)
+    draw = np.random.default_rng(12)
+    pool = [" ".join(draw.choice(WORDS, n)) for n in draw.integers(1, 60, 40)] + ["ab" * 90, "z" * 120, "\u00e9\u00e8" * 40]
+    texts = [" ".join(pool[k] for k in draw.integers(0, len(pool), draw.integers(0, 9))) for _ in range(120)] + [None, "", "z" * 20_000]
+    got = {r["doc_id"]: (bytes(r["kept"]), r["n_removed"]) for r in suffixes.remove_repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [got[i] for i in range(len(texts))] == brute_removed(texts)
+    short = {r["doc_id"]: (bytes(r["kept"]), r["n_removed"]) for r in suffixes.remove_repeats(spark.createDataFrame(list(enumerate(texts[:40])), "doc_id long, text string"), length=17).collect()}
+    assert [short[i] for i in range(40)] == brute_removed(texts[:40], 17)
+
+
+def test_strings_that_share_a_hash_are_compared_by_bytes(monkeypatch):
+    monkeypatch.setattr(suffixes.B, "mix", lambda x: x * np.uint64(0))
+    rows = np.frombuffer((b"x" * 75 + bytes([0, 25]) + bytes(3)) * 2 + b"y" * 75 + bytes([0, 25]) + bytes(3), np.uint8).reshape(3, 80).copy()
+    assert suffixes.string_lows(rows, np.array([4, 2, 3]), 50)[:, 0].tolist() == [2, 2, 3]
+
+
 def test_repeats_among_rows_that_repeat_an_id(spark):
     other = say(60)
     rows = [(1, BASE), (2, other + " " + BASE), (2, BASE[30:]), (2, "short"), (3, other), (3, other)]
@@ -243,7 +291,8 @@ def test_classifiers_learn(spark):
     assert toxicity.score(df, none).where("toxicity > 0.01").count() == 0
     rows = [(i, say(40) if i % 2 else " | ".join(say(30).split()).upper() + "!!", i % 2) for i in range(400)] + [(900, None, None), (901, "", 0)]
     df = spark.createDataFrame(rows, "doc_id long, text string, quality int")
-    q = quality.score(df, quality.fit(df.drop("quality"), df.where("doc_id % 4 <> 2").select("doc_id", "quality")))
+    described = quality.describe(df)
+    q = quality.score(described, quality.fit(described, df.where("doc_id % 4 <> 2").select("doc_id", "quality")))
     held = q.where("doc_id % 4 = 2 or doc_id % 4 = 3").where("doc_id < 900").collect()
     assert sum((r["quality_score"] >= 0.7) == (r["doc_id"] % 2 == 1) for r in held) / len(held) > 0.95
     assert q.where("quality_score is null").count() == 0
