@@ -43,7 +43,7 @@ def word_ids(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     for i, j in B.pieces(offsets):
         part, off = B.LOWER[data[offsets[i] : offsets[j]]], offsets[i : j + 1] - offsets[i]
         starts, ends, first = B.word_spans(part, off, MARKS)
-        hashes.append(B.span_hashes(B.prefix_sums(part), starts, ends))
+        hashes.append(B.span_hashes(part, starts, ends))
         counts.append(np.diff(first))
     counts = np.concatenate([*counts, np.zeros(0, np.int64)])
     return np.concatenate([*hashes, np.zeros(0, np.uint64)]), np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)
@@ -270,22 +270,19 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", lang_col: str =
     """``docs`` with toxicity double (0 to 1) and toxic boolean, by the language's threshold.
 
     Null and empty texts are scored as a text without known words; an unknown or null language
-    uses the common threshold. Columns named toxicity or toxic are replaced. The model
-    (about 2 MB whatever the data) is broadcast.
+    uses the common threshold. Texts of any length are scored whole, rows that repeat an id or have none each
+    on their own. Columns named toxicity or toxic are replaced. The model (about 2 MB whatever the data) is
+    broadcast, and of each row only the text goes to Python and only the score comes back.
     """
     spark = docs.sparkSession
     small_batches(spark)
     shared = spark.sparkContext.broadcast(model)
-    rest = docs.drop("toxicity", "toxic")
-    schema = ", ".join(f"`{n}` {t}" for n, t in rest.dtypes)
 
-    def run(batches):
-        m = shared.value
-        for b in batches:
-            s = m.scores(*word_ids(b.column(b.schema.get_field_index(text_col))))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s)], [*b.schema.names, "toxicity"])
+    @F.arrow_udf("double")
+    def toxicity(texts: pa.Array) -> pa.Array:
+        return pa.array(shared.value.scores(*word_ids(texts)))
 
-    scored = rest.mapInArrow(run, f"{schema}, toxicity double")
+    scored = docs.drop("toxicity", "toxic").withColumn("toxicity", toxicity(F.col(text_col)))
     common = model.thresholds.get("", 0.5)
     limit = F.lit(common)
     for lang, t in sorted(model.thresholds.items()):
