@@ -57,19 +57,23 @@ def statistics(column: pa.Array) -> np.ndarray:
         tail = part[ends - 1] if len(ends) else part[:0]
         loud = (upper[ends] - upper[starts] >= 2) & (2 * (upper[ends] - upper[starts]) >= letter[ends] - letter[starts])
         odd = CLASSES[7][tail] | CLASSES[8][tail] | CLASSES[9][tail]
-        h = B.span_hashes(B.prefix_sums(B.LOWER[part]), starts, ends)
+        h = B.span_hashes(B.LOWER[part], starts, ends)
+        # A pair of words counts at the text of its first word, without the pairs that reach into the next text.
         pair = B.mix(h[:-1] * np.uint64(3) + h[1:]) if len(h) > 1 else h[:0]
-        line_stop = np.flatnonzero(part == 10)
-        sums = B.prefix_sums(part)
+        inside = np.ones(len(pair), bool)
+        inside[(first[1:-1] - 1)[(first[1:-1] > 0) & (first[1:-1] <= len(pair))]] = False
+        pairs_before = np.concatenate([[0], np.cumsum(inside)])[np.minimum(first, len(pair))]
+        # Lines begin after each line feed and at each text.
+        line_starts = np.union1d(off[:-1], np.flatnonzero(part == 10) + 1)
+        line_first = np.searchsorted(line_starts, off)
+        ends_at = np.append(line_starts[1:], off[-1])
+        ends_at = ends_at - (part[np.maximum(ends_at - 1, 0)] == 10) * (ends_at > line_starts) if len(part) else ends_at
         out = np.zeros((j - i, len(STATISTICS)))
-        for d in range(j - i):
-            lo, hi = first[d], first[d + 1]
-            out[d, 14] = len(np.unique(h[lo:hi])) / w[d]
-            out[d, 20] = 1 - len(np.unique(pair[lo : hi - 1])) / max(hi - lo - 1, 1) if hi - lo > 1 else 0
-            a, z = np.searchsorted(line_stop, off[d : d + 2])
-            cut_at = np.concatenate([[off[d]], line_stop[a:z] + 1, [off[d + 1]]])
-            lines = B.span_hashes(sums, cut_at[:-1], np.maximum(cut_at[1:] - 1, cut_at[:-1])) if len(cut_at) > 2 else h[:1]
-            out[d, 15] = 1 - len(np.unique(lines)) / max(len(lines), 1) if len(lines) else 0
+        out[:, 14] = B.distinct_counts(h, first) / w
+        pairs = np.diff(pairs_before)
+        out[:, 20] = np.where(pairs > 0, 1 - B.distinct_counts(pair[inside], pairs_before) / np.maximum(pairs, 1), 0)
+        held = np.diff(line_first)
+        out[:, 15] = np.where(held > 0, 1 - B.distinct_counts(B.span_hashes(part, line_starts, ends_at), line_first) / np.maximum(held, 1), 0)
         size = np.maximum(n, 1)
         letters = np.maximum(counts[0] + counts[1], 1)
         lines = counts[4] + 1
@@ -123,28 +127,33 @@ def isotonic(y: np.ndarray, weight: np.ndarray) -> np.ndarray:
     return np.concatenate([*([v] * int(n) for v, _, n in pools), np.zeros(0)])
 
 
-def _described(batches):
-    for b in batches:
-        x = statistics(b.column(1))
-        flat = pa.ListArray.from_arrays(pa.array((np.arange(len(x) + 1) * len(STATISTICS)).astype(np.int32)), pa.array(x.ravel()))
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), flat], ["doc_id", "label", "x"])
+def describe(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id and the ``STATISTICS`` of every row as x array<double>; texts are read here and nowhere else."""
+    small_batches(docs.sparkSession)
+
+    def run(batches):
+        for b in batches:
+            x = statistics(b.column(1))
+            at = pa.array((np.arange(len(x) + 1) * len(STATISTICS)).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(at, pa.array(x.ravel()))], ["doc_id", "x"])
+
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {dict(docs.dtypes)[id_col]}, x array<double>")
 
 
 def _matrix(batch) -> np.ndarray:
     return batch.column(batch.schema.get_field_index("x")).flatten().to_numpy(zero_copy_only=False).reshape(-1, len(STATISTICS))
 
 
-def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", seed: int = 5) -> Model:
-    """Fit on all documents that have a label of 0 or 1.
+def fit(described: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", seed: int = 5) -> Model:
+    """Fit on all rows of ``describe`` that have a label of 0 or 1.
 
     Rows without an id or such a label take no part; repeated rows count each. Without labelled
-    rows the model scores 0 everywhere.
+    rows the model scores 0 everywhere, with one label only its share. What is joined and shuffled are
+    the statistics, never texts.
     """
-    spark = docs.sparkSession
-    small_batches(spark)
+    spark = described.sparkSession
     known = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("label")).where("doc_id is not null and label in (0, 1)")
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    rows = cut(texts.join(known, "doc_id").select("doc_id", "text", "label").mapInArrow(_described, "doc_id long, label int, x array<double>"), "statistics")
+    rows = cut(described.join(known, "doc_id").select("label", "x"), "labelled")
     d = len(STATISTICS)
     moments = rows.agg(F.count("*").alias("n"), *(F.avg(F.col("x")[i]).alias(f"m{i}") for i in range(d)), *(F.stddev_pop(F.col("x")[i]).alias(f"s{i}") for i in range(d))).first()
     rng = np.random.default_rng(seed)
@@ -186,21 +195,17 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col:
     return model
 
 
-def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """``docs`` with quality_score double, 0 to 1.
+def score(described: DataFrame, model: Model) -> DataFrame:
+    """Every row of ``describe`` with quality_score double, 0 to 1: doc_id, quality_score.
 
-    Null and empty texts are scored by the statistics of an empty text. A column named
-    quality_score is replaced. The model, under 1 MB whatever the data, is broadcast.
+    Null and empty texts are scored by the statistics of an empty text; repeated rows and null ids are
+    kept; texts of any length are read whole, a piece at a time. The model, under 1 MB whatever the
+    data, is broadcast.
     """
-    spark = docs.sparkSession
-    small_batches(spark)
-    shared = spark.sparkContext.broadcast(model)
-    rest = docs.drop("quality_score")
-    schema = ", ".join(f"`{n}` {t}" for n, t in rest.dtypes)
+    shared = described.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         for b in batches:
-            s = shared.value.scores(statistics(b.column(b.schema.get_field_index(text_col))))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s)], [*b.schema.names, "quality_score"])
+            yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index("doc_id")), pa.array(shared.value.scores(_matrix(b)))], ["doc_id", "quality_score"])
 
-    return rest.mapInArrow(run, f"{schema}, quality_score double")
+    return described.mapInArrow(run, f"doc_id {dict(described.dtypes)['doc_id']}, quality_score double")

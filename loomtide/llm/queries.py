@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import bpe, chat, licenses, mixing, onebit, quality, setsketch, suffixes, topk, toxicity
+from .storage import cut
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,9 +58,9 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents")
-    model = quality.fit(docs, _table(spark, sf_dir, "labels").where(_fold(4) != 2))
-    scored = quality.score(docs.select("doc_id", "text"), model)
+    described = cut(quality.describe(_table(spark, sf_dir, "documents")), "statistics")
+    model = quality.fit(described, _table(spark, sf_dir, "labels").where(_fold(4) != 2))
+    scored = quality.score(described, model)
     return scored.select("doc_id", (_fold(4) == 2).alias("held_out"), F.col("quality_score").alias("score"), (F.col("quality_score") >= 0.7).cast("int").alias("predicted"))
 
 
