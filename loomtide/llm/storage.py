@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -43,7 +44,8 @@ def discard(*tables: DataFrame) -> None:
     for df in tables:
         path = jvm.org.apache.hadoop.fs.Path(df._cut_path)
         path.getFileSystem(jsc.hadoopConfiguration()).delete(path, True)
-    # Spark's cleaner works when the plans behind the files are collected.
+    # Spark's cleaner works when the plans behind the files are collected, here and in the JVM.
+    gc.collect()
     jvm.System.gc()
 
 

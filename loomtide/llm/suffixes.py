@@ -32,9 +32,9 @@ from pyspark.sql import DataFrame, functions as F
 from . import buffers as B
 from .storage import cut, discard, small_batches
 
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 4 << 20
 #: Anchors and entries that a task sorts at once, and places beyond which an anchor is dealt by whole strings.
-PART_ANCHORS, PART_ENTRIES, HOT = 1 << 20, 1 << 14, 1 << 14
+PART_ANCHORS, PART_ENTRIES, HOT = 1 << 20, 1 << 15, 1 << 14
 PLACE = np.uint64((1 << 20) - 1)
 MANY = 1 << 15
 
@@ -77,13 +77,13 @@ def anchored(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.nda
 
 
 def _blocks(batches, size: int):
-    """Documents packed into rows of about ``size`` bytes: block, ids, sizes, data, n_bytes."""
+    """Documents packed into rows of about ``size`` bytes: block, ids, sizes, data (compressed), n_bytes."""
     task, made = TaskContext.get().partitionId(), 0
     ids, sizes, parts, held = [], [], [], 0
 
     def row():
         data = b"".join(parts)
-        cols = [pa.array([(task << 32) + made], pa.int64()), *(pa.array([np.concatenate(x).astype(np.int64).tobytes()], pa.binary()) for x in (ids, sizes)), pa.array([data], pa.binary()), pa.array([len(data)], pa.int64())]
+        cols = [pa.array([(task << 32) + made], pa.int64()), *(pa.array([np.concatenate(x).astype(np.int64).tobytes()], pa.binary()) for x in (ids, sizes)), pa.array([pa.compress(data, "zstd", asbytes=True)], pa.binary()), pa.array([len(data)], pa.int64())]
         return pa.RecordBatch.from_arrays(cols, ["block", "ids", "sizes", "data", "n_bytes"])
 
     for batch in batches:
@@ -109,7 +109,7 @@ class _Block:
         self.ids = np.frombuffer(row["ids"], np.int64)
         self.sizes = np.frombuffer(row["sizes"], np.int64)
         self.offsets = np.concatenate([[0], np.cumsum(self.sizes)])
-        self.data = np.frombuffer(row["data"], np.uint8)
+        self.data = np.frombuffer(pa.decompress(row["data"], row["n_bytes"], "zstd", asbytes=True), np.uint8)
 
 
 def _opened(batches):
@@ -222,8 +222,9 @@ def _entries(batches, length: int, parts: int):
     for b, row in _opened(batches):
         e = _Entries(b, row, length)
         part, at = _parts_of(e.key, parts)
-        cut_at = lambda x: pa.array([x[lo:hi].tobytes() for lo, hi in zip(at, at[1:], strict=False)], pa.binary())  # noqa: E731, B023
-        yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(np.full(len(part), b.block)), pa.array(at[:-1].astype(np.int64)), cut_at(e.rows), cut_at(e.low)], ["part", "block", "at", "rows", "lows"])
+        rows = pa.array([pa.compress(e.rows[lo:hi].tobytes(), "zstd", asbytes=True) for lo, hi in zip(at, at[1:], strict=False)], pa.binary())
+        lows = pa.array([e.low[lo:hi].tobytes() for lo, hi in zip(at, at[1:], strict=False)], pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(np.full(len(part), b.block)), pa.array(at[:-1].astype(np.int64)), rows, lows], ["part", "block", "at", "rows", "lows"])
 
 
 def string_lows(rows: np.ndarray, lows: np.ndarray, length: int) -> np.ndarray:
@@ -266,7 +267,7 @@ def _met(table: pa.Table, length: int) -> pa.Table:
     """For each block the entries that a smaller document shares: entry, first and last offset, and that document."""
     width = _Entries.width(length)
     counts = np.array([len(x) // 8 for x in table["lows"].to_pylist()], np.int64)
-    rows = np.frombuffer(b"".join(table["rows"].to_pylist()), np.uint8).reshape(-1, width)
+    rows = np.frombuffer(b"".join(pa.decompress(x, n * width, "zstd", asbytes=True) for x, n in zip(table["rows"].to_pylist(), counts.tolist(), strict=True)), np.uint8).reshape(-1, width)
     lows = np.frombuffer(b"".join(table["lows"].to_pylist()), np.int64)
     best = string_lows(rows, lows, length)
     entry = np.arange(len(rows)) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(table["at"].to_numpy(), counts)
@@ -344,29 +345,37 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spark = docs.sparkSession
     small_batches(spark)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).where("doc_id is not null")
-    blocks = cut(texts.mapInArrow(partial(_blocks, size=BLOCK_BYTES), "block long, ids binary, sizes binary, data binary, n_bytes long"), "blocks", compression="zstd")
-    total = blocks.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]
+    packed = cut(texts.mapInArrow(partial(_blocks, size=BLOCK_BYTES), "block long, ids binary, sizes binary, data binary, n_bytes long"), "blocks")
+    small_batches(spark, 8)
+    common = _common_anchors(packed, length)
+    discard()  # the shuffle of all anchors
+    met = _met_documents(packed, common, length)
+    discard()
+    small_batches(spark)
+    out = packed.join(common, "block", "left").join(met, "block", "left")
+    return out.mapInArrow(partial(_removed, length=length, as_text=as_text), f"doc_id long, n_bytes long, n_removed long, spans array<long>, kept {'string' if as_text else 'binary'}")
 
+
+def _common_anchors(packed: DataFrame, length: int) -> DataFrame:
+    """Round 1: block, names and hot of the anchors that several documents have."""
+    parts = max(1, -(-4 * packed.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0] // (length * PART_ANCHORS)))
     hot = HOT
 
     def shared(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         return _shared(table, hot)
 
-    def met(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        return _met(table, length)
-
-    parts = max(1, -(-4 * total // (length * PART_ANCHORS)))
-    small_batches(spark, 8)
-    packed = blocks.drop("n_bytes")
     anchors = packed.mapInArrow(partial(_anchors, length=length, parts=parts), "part long, block long, names binary, marks binary")
     common = anchors.groupBy("part").applyInArrow(shared, "block long, names binary, hot binary")
-    common = cut(common.groupBy("block").agg(F.collect_list("names").alias("names"), F.collect_list("hot").alias("hot")), "anchors")
-    known = common.agg(F.coalesce(F.sum(F.aggregate("names", F.lit(0).cast("long"), lambda n, x: n + F.length(x))), F.lit(0))).first()[0] // 8
-    discard()
+    return cut(common.groupBy("block").agg(F.collect_list("names").alias("names"), F.collect_list("hot").alias("hot")), "anchors")
+
 
+def _met_documents(packed: DataFrame, common: DataFrame, length: int) -> DataFrame:
+    """Round 2: block and met, the entries of each block that smaller documents of other blocks share."""
+    known = common.agg(F.coalesce(F.sum(F.aggregate("names", F.lit(0).cast("long"), lambda n, x: n + F.length(x))), F.lit(0))).first()[0] // 8
     parts = max(1, -(-known // PART_ENTRIES))
+
+    def met(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        return _met(table, length)
+
     entries = packed.join(common, "block").mapInArrow(partial(_entries, length=length, parts=parts), "part long, block long, at long, rows binary, lows binary")
-    found = cut(entries.groupBy("part").applyInArrow(met, "block long, met binary").groupBy("block").agg(F.collect_list("met").alias("met")), "met")
-    discard()
-    out = packed.join(common, "block", "left").join(found, "block", "left")
-    return out.mapInArrow(partial(_removed, length=length, as_text=as_text), f"doc_id long, n_bytes long, n_removed long, spans array<long>, kept {'string' if as_text else 'binary'}")
+    return cut(entries.groupBy("part").applyInArrow(met, "block long, met binary").groupBy("block").agg(F.collect_list("met").alias("met")), "met")
