@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -44,8 +45,10 @@ def discard(*tables: DataFrame) -> None:
     for df in tables:
         path = jvm.org.apache.hadoop.fs.Path(df._cut_path)
         path.getFileSystem(jsc.hadoopConfiguration()).delete(path, True)
-    # Spark's cleaner works when the plans behind the files are collected, here and in the JVM.
+    # Spark's cleaner works when the plans behind the files are collected: here, then, once the bridge's own
+    # thread has passed that on (it wakes every second), in the JVM.
     gc.collect()
+    time.sleep(1.5)
     jvm.System.gc()
 
 

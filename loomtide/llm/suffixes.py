@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, functions as F
 from . import buffers as B
 from .storage import cut, discard, small_batches
 
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 1 << 20
 #: Anchors and entries that a task sorts at once, and places beyond which an anchor is dealt by whole strings.
 PART_ANCHORS, PART_ENTRIES, HOT = 1 << 20, 1 << 15, 1 << 14
 PLACE = np.uint64((1 << 20) - 1)
