@@ -9,7 +9,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-ARROW_ROWS, ARROW_BYTES = 512, 8 << 20
+ARROW_ROWS, ARROW_BYTES = 512, 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:

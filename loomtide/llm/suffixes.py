@@ -34,7 +34,7 @@ from .storage import cut, discard, small_batches
 
 BLOCK_BYTES = 1 << 20
 #: Anchors and entries that a task sorts at once, and places beyond which an anchor is dealt by whole strings.
-PART_ANCHORS, PART_ENTRIES, HOT = 1 << 20, 1 << 15, 1 << 14
+PART_ANCHORS, PART_ENTRIES, HOT = 1 << 18, 1 << 15, 1 << 14
 PLACE = np.uint64((1 << 20) - 1)
 MANY = 1 << 15
 
@@ -346,12 +346,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     small_batches(spark)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).where("doc_id is not null")
     packed = cut(texts.mapInArrow(partial(_blocks, size=BLOCK_BYTES), "block long, ids binary, sizes binary, data binary, n_bytes long"), "blocks")
-    small_batches(spark, 8)
     common = _common_anchors(packed, length)
     discard()  # the shuffle of all anchors
     met = _met_documents(packed, common, length)
     discard()
-    small_batches(spark)
     out = packed.join(common, "block", "left").join(met, "block", "left")
     return out.mapInArrow(partial(_removed, length=length, as_text=as_text), f"doc_id long, n_bytes long, n_removed long, spans array<long>, kept {'string' if as_text else 'binary'}")
 
