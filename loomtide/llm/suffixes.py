@@ -66,7 +66,8 @@ def anchored(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.nda
         turn = np.flatnonzero(turn)
         starts.append(s + turn)
         places.append(s + at[turn])
-        hashes.append(h[at[turn]])
+        # Anchors are least hashes, so they are mixed again to be spread evenly over the ranges.
+        hashes.append(B.mix(h[at[turn]]))
     start, place, name = np.concatenate(starts), np.concatenate(places), np.concatenate(hashes)
     doc = np.searchsorted(offsets, start, "right") - 1
     new = np.append(True, (place[1:] != place[:-1]) | (doc[1:] != doc[:-1])) if len(start) else np.zeros(0, bool)
@@ -194,8 +195,8 @@ class _Entries:
         rows = np.zeros((len(key), width), np.uint8)
         padded = np.concatenate([np.zeros(reach, np.uint8), b.data, np.zeros(width, np.uint8)])
         column = np.arange(length + reach)
-        for i in range(0, len(key), 1 << 15):
-            s = slice(i, i + (1 << 15))
+        for i in range(0, len(key), 1 << 12):
+            s = slice(i, i + (1 << 12))
             inside = (column >= low[s, None]) & (column < high[s, None] + length)
             rows[s, : length + reach] = padded[place[s, None] + column] * inside
         rows[:, length + reach], rows[:, length + reach + 1] = low, high
