@@ -19,9 +19,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from .storage import cut
-from .vectors import block_pairs, blocks, clean, unpack
+from .vectors import QUERY_ROWS, block_pairs, blocks, clean, unpack
 
 SEED, WIDTHS = 61_803, 2.5
+#: Queries whose bounds a task holds at once.
+QUERY_STEP = 256
 
 
 def rotation(d: int) -> np.ndarray:
@@ -50,25 +52,28 @@ def bounds(codes, match, error, queries) -> tuple[np.ndarray, np.ndarray]:
 def _search(batches, k: int):
     for batch in batches:
         out = [[], [], []]
-        for row in batch.to_pylist():
-            qid, q = unpack(row["q_ids"], row["q_vectors"], row["d"])
+        for r in range(batch.num_rows):
+            row = batch.slice(r, 1).to_pylist()[0]
+            ids, queries = unpack(row["q_ids"], row["q_vectors"], row["d"])
             cid, c = unpack(row["c_ids"], row["c_vectors"], row["d"])
             codes = np.frombuffer(row["c_codes"], np.uint8).reshape(len(cid), -1)
             match, error = np.frombuffer(row["c_scalars"], np.float64).reshape(2, -1)
-            unit = q / np.linalg.norm(q, axis=1, keepdims=True)
-            low, high = bounds(codes, match, error, unit)
-            own = cid[None, :] == qid[:, None]
-            low[own], high[own] = -np.inf, -np.inf
-            m = min(k, len(cid))
-            floor = np.partition(low, len(cid) - m, axis=1)[:, len(cid) - m]
             length = np.sqrt((c * c).sum(1))
-            for i in range(len(qid)):
-                at = np.flatnonzero((high[i] >= floor[i]) & ~own[i])
-                score = (c[at] * q[i]).sum(1) / (length[at] * np.sqrt((q[i] * q[i]).sum()))
-                best = np.lexsort((cid[at], -score))[:k]
-                out[0].append(np.full(len(best), qid[i]))
-                out[1].append(cid[at][best])
-                out[2].append(score[best])
+            for lo in range(0, len(ids), QUERY_STEP):
+                qid, q = ids[lo : lo + QUERY_STEP], queries[lo : lo + QUERY_STEP]
+                unit = q / np.linalg.norm(q, axis=1, keepdims=True)
+                low, high = bounds(codes, match, error, unit)
+                own = cid[None, :] == qid[:, None]
+                low[own], high[own] = -np.inf, -np.inf
+                m = min(k, len(cid))
+                floor = np.partition(low, len(cid) - m, axis=1)[:, len(cid) - m]
+                for i in range(len(qid)):
+                    at = np.flatnonzero((high[i] >= floor[i]) & ~own[i])
+                    score = (c[at] * q[i]).sum(1) / (length[at] * np.sqrt((q[i] * q[i]).sum()))
+                    best = np.lexsort((cid[at], -score))[:k]
+                    out[0].append(np.full(len(best), qid[i]))
+                    out[1].append(cid[at][best])
+                    out[2].append(score[best])
         cols = [np.concatenate([*o, np.zeros(0)]) for o in out]
         yield pa.RecordBatch.from_arrays([pa.array(cols[0].astype(np.int64)), pa.array(cols[1].astype(np.int64)), pa.array(cols[2])], ["query_id", "vec_id", "score"])
 
@@ -102,11 +107,12 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "v
     precision; ties go to the smaller vec_id and a query never finds its own id.
     Vectors that are null, zero, or hold null or non-finite components take no
     part, nor do null ids; vectors are only compared with those of the same length.
-    Repeated rows count once each. With fewer than k candidates all are
+    Rows of ``vectors`` that repeat an id count once each. Queries of one id with other vectors are ranked together, equal
+    ones count once. With fewer than k candidates all are
     returned; an empty side gives an empty result. Other columns are ignored.
     """
     held = cut(index(vectors, id_col, vector_col), "codes")
-    asked = cut(blocks(clean(queries, id_col, vector_col).where("norm2 > 0"), rows=256), "queries")
+    asked = cut(blocks(clean(queries, id_col, vector_col).where("norm2 > 0").dropDuplicates(["id", "v"]), rows=QUERY_ROWS), "queries")
     pairs = block_pairs(held, asked)
     found = pairs.mapInArrow(lambda b: _search(b, k), "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")

@@ -8,7 +8,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-ROWS = 4096
+#: Vectors of a held block and of a block of queries. Each held block goes to every query block it may serve, so large
+#: query blocks keep the shuffle small.
+ROWS, QUERY_ROWS = 2048, 4096
 #: Tasks that list the pairs of one vector length.
 SALTS = 32
 
@@ -22,14 +24,15 @@ def clean(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
 
 
 def blocks(df: DataFrame, rows: int = ROWS, keys: tuple[str, ...] = ()) -> DataFrame:
-    """Rows (d, *keys, block, ids, vectors) of about ``rows`` vectors each, dealt by a hash of the id.
+    """Rows (d, *keys, block, ids, vectors) of about ``rows`` vectors each, dealt by a hash of the row.
 
-    ``keys`` are further long columns to keep apart, with few distinct values.
+    ``keys`` are further long columns to keep apart, with few distinct values. Equal rows are dealt
+    apart by a random number that is not kept, so thousands of copies of one row are no large block.
     """
     per = df.withColumn("d", F.size("v").cast("long"))
     sizes = per.groupBy("d", *keys).agg(F.greatest(F.lit(1), F.ceil(F.count("*") / rows)).alias("nb"))
     # One row for each length and key, so this side stays small whatever the number of vectors.
-    dealt = per.join(sizes, ["d", *keys]).withColumn("block", F.pmod(F.xxhash64("id", "v"), F.col("nb")).cast("long"))
+    dealt = per.join(sizes, ["d", *keys]).withColumn("block", F.pmod(F.xxhash64("id", "v", F.monotonically_increasing_id()), F.col("nb")).cast("long"))
 
     def pack(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, data = [], []
@@ -51,16 +54,22 @@ def unpack(ids: bytes, vectors: bytes, d: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def block_pairs(held: DataFrame, asked: DataFrame) -> DataFrame:
-    """Every held block beside every asked block of the same vector length.
+    """Every held block beside every asked block of the same vector length that may need it.
 
     The ids of blocks alone decide the pairs; each pair then fetches both packed
-    rows by an equi-join, so a task holds one pair at a time.
+    rows by an equi-join, so a task holds one pair at a time. Where ``held`` has ``reach``, an upper bound of its norms,
+    and ``asked`` has ``need``, a norm that anything worth finding has, pairs that cannot meet are never fetched.
     """
     keys = [c for c in held.columns if c in ("bucket", "block")]
-    left, right = held.select("d", *keys).distinct(), asked.select("d", F.col("block").alias("q_block")).distinct()
+    bounds = ["reach"] if "reach" in held.columns and "need" in asked.columns else []
+    left = held.select("d", *keys, *bounds).distinct()
+    right = asked.select("d", F.col("block").alias("q_block"), *(["need"] if bounds else [])).distinct()
     spread = F.array(*(F.lit(i) for i in range(SALTS)))
     left = left.withColumn("salt", F.pmod(F.xxhash64(*keys), F.lit(SALTS)).cast("int"))
-    ids = left.join(right.withColumn("salt", F.explode(spread)), ["d", "salt"]).drop("salt").repartition(*keys, "q_block")
-    h = held.select("d", *keys, *(F.col(c).alias(f"c_{c}") for c in held.columns if c not in ("d", *keys)))
-    q = asked.select("d", F.col("block").alias("q_block"), *(F.col(c).alias(f"q_{c}") for c in asked.columns if c not in ("d", "block")))
+    ids = left.join(right.withColumn("salt", F.explode(spread)), ["d", "salt"])
+    if bounds:
+        ids = ids.where("reach >= need")
+    ids = ids.select("d", *keys, "q_block").repartition(*keys, "q_block")
+    h = held.drop("reach").select("d", *keys, *(F.col(c).alias(f"c_{c}") for c in held.columns if c not in ("d", "reach", *keys)))
+    q = asked.drop("need").select("d", F.col("block").alias("q_block"), *(F.col(c).alias(f"q_{c}") for c in asked.columns if c not in ("d", "block", "need")))
     return ids.join(h, ["d", *keys]).join(q, ["d", "q_block"]).repartition(*keys, "q_block")
