@@ -50,8 +50,10 @@ def linear_nodes(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "t
 def paths(nodes: DataFrame) -> DataFrame:
     """(tree, leaf, node, up) for every message on a leaf's path; up counts from the leaf.
 
-    A parent that does not exist in the tree, or a null one, makes a root. Messages in a
-    cycle have no leaf below them or no root above them and take no part.
+    A parent that does not exist in the tree, or a null one, makes a root. Messages in a cycle
+    of replies, and those below one, have no root above them and take no part: each round shortens
+    some path that ends at a root, so what is left when a round shortens none hangs on a cycle.
+    Rows that repeat a (tree, node, parent) are one message; a node with several parents has a path through each.
     """
     ids = cut(nodes.select("tree", "node", "parent").distinct(), "nodes")
     real = ids.select("tree", F.col("node").alias("parent")).distinct()
@@ -59,15 +61,16 @@ def paths(nodes: DataFrame) -> DataFrame:
     leaves = ids.join(jump.select("tree", F.col("above").alias("node")).distinct(), ["tree", "node"], "left_anti")
     jump = cut(jump, "jump")
     reach = leaves.select("tree", F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("up"))
-    span = 1
-    while not jump.isEmpty():
+    span, left = 1, jump.select("tree", "node").distinct().count()
+    while left:
         further = reach.join(jump, ["tree", "node"]).select("tree", "leaf", F.col("above").alias("node"), (F.col("up") + span).alias("up"))
         reach = cut(reach.union(further), "paths")
         again = jump.select("tree", F.col("node").alias("above"), F.col("above").alias("top"))
-        jump = cut(jump.join(again, ["tree", "above"]).select("tree", "node", F.col("top").alias("above")), "jump")
+        jump = cut(jump.join(again, ["tree", "above"]).select("tree", "node", F.col("top").alias("above")).distinct(), "jump")
         span *= 2
-        if span > 1 << 40:
-            raise ValueError("replies form a cycle")
+        before, left = left, jump.select("tree", "node").distinct().count()
+        if left == before:
+            return reach.join(jump.select("tree", F.col("node").alias("leaf")).distinct(), ["tree", "leaf"], "left_anti")
     return reach
 
 
