@@ -1,10 +1,10 @@
 """Mixing sources to target weights by a multivariate-hypergeometric splitting tree.
 
-Each source's target is a number of words. Its documents are dealt into blocks by a
+Each source's target is a number of words. Its documents are dealt into blocks by ranges of a
 hash; a target of r times the source's size takes every block floor(r) times, and
-once more as many documents, in hash order, as make up the rest, with the one
-further document that comes nearest to what is still missing. So every source has an
-exact quota of block draws. A binary tree over the output shards splits the
+once more the blocks, in hash order, whose documents make up the rest, the last of them up to the document where the rest
+ends, with the one further document that comes nearest to what is still missing. So every source has an
+exact quota of block draws, all of which are taken. A binary tree over the output shards splits the
 quotas: at each node the left half's draws are multivariate hypergeometric given the node's
 quotas, so any shard's composition is that of a uniform shuffle of all draws, and
 every draw goes to exactly one shard. A shard finds its quotas by walking
@@ -103,17 +103,29 @@ def _hypergeometric(rng, have: np.ndarray, n: int) -> np.ndarray:
         if n <= 0:
             break
         rest -= h
-        if h and rest + h < 1_000_000_000:
-            out[i] = rng.hypergeometric(h, rest, n) if rest else n
-        elif h:
-            # Beyond the sampler's range: the normal limit, kept within what is possible.
-            p, size = h / (rest + h), rest + h
-            sd = np.sqrt(n * p * (1 - p) * (size - n) / max(size - 1, 1))
-            out[i] = min(max(round(rng.normal(n * p, sd)), max(0, n - rest)), min(h, n))
+        if h:
+            out[i] = (rng.hypergeometric(h, rest, n) if rest + h < 1_000_000_000 else _wide_hypergeometric(rng, h, rest, n)) if rest else n
         n -= int(out[i])
     return out
 
 
+def _wide_hypergeometric(rng, good: int, bad: int, n: int) -> int:
+    """The same draw for populations beyond the sampler's range, by inverting the distribution function.
+
+    Probabilities are products of their exact ratios from the mode on, over 12 standard deviations a side, outside
+    of which less than 1e-30 lies.
+    """
+    size = good + bad
+    low, high = max(0, n - bad), min(good, n)
+    mode = min(max((n + 1) * (good + 1) // (size + 2), low), high)
+    spread = 12 * int(np.sqrt(n * (good / size) * (bad / size) * ((size - n) / max(size - 1, 1)))) + 50
+    k = np.arange(max(low, mode - spread), min(high, mode + spread) + 1, dtype=np.float64)
+    ratios = np.log((good - k[:-1]) * (n - k[:-1])) - np.log((k[:-1] + 1) * (bad - n + k[:-1] + 1))
+    logs = np.concatenate([[0.0], np.cumsum(ratios)])
+    steps = np.cumsum(np.exp(logs - logs.max()))
+    return int(k[min(np.searchsorted(steps, rng.random() * steps[-1], "right"), len(k) - 1)])
+
+
 def sized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(text_col).alias("size"))
     return rows.withColumn("h", F.xxhash64(F.lit(41), F.col("doc_id"), F.col("size")))
@@ -160,6 +172,15 @@ def _below(h, mark):
     return F.shiftrightunsigned(h, 64 - DIGIT_BITS * DIGITS) < mark
 
 
+def _block(top, blocks):
+    """The block of a hash by its upper 32 bits, as ranges of equal width."""
+    return F.shiftright(top * blocks, 32)
+
+
+def _block_of(h: str, blocks: str):
+    return _block(F.shiftrightunsigned(h, 32), F.col(blocks))
+
+
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = WEIGHTS, most: float = 3.0, seed: int = 17, shard_draws: int = SHARD_DRAWS) -> tuple[DataFrame, DataFrame]:
     """The mix and the sizes behind it.
 
@@ -171,14 +192,15 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     A null text has size 0; a null source is a source of its own, ordered last; null
     ids are kept and mixed. A repeated row is a document of its own, as are rows that
     share an id. A source without words has target 0 and is not taken. Other columns are
-    ignored; an empty table gives empty results. More than ``MAX_SOURCES`` sources are
+    ignored; an empty table gives empty results. A text of any length is one document. More than ``MAX_SOURCES`` sources are
     refused, as their totals go to every task.
     """
     spark = docs.sparkSession
     rows = cut(sized(docs, id_col, text_col, source_col), "sizes")
-    sources = cut(targets(rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("docs")).select("source", "source_size"), weights, most), "targets")
-    if sources.count() > MAX_SOURCES:
+    sums = cut(rows.groupBy("source").agg(F.sum("size").alias("source_size")), "sources")
+    if sums.count() > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources")
+    sources = cut(targets(sums, weights, most), "targets")
     known = rows.join(F.broadcast(sources), rows["source"].eqNullSafe(sources["source"])).select("doc_id", rows["source"], "size", "h", "place", "source_size", "target")
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     wanted = sources.withColumn("whole", F.floor(ratio + 1e-12).cast("long")).withColumn("rest", F.greatest(F.lit(0.0), F.col("target") - F.col("whole") * F.col("source_size")))
@@ -186,12 +208,15 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
     counts = known.groupBy("place").agg(F.count("*").alias("docs"))
     plan = wanted.join(marks, "place").join(counts, "place").withColumn("blocks", F.ceil(F.col("docs") / BLOCK_DOCS).cast("long"))
-    plan = plan.select("place", "whole", "mark", "pick_h", "pick_id", "blocks", F.col("source_size").alias("words")).orderBy("place")
+    # The rest takes the blocks of hashes below the mark, and the block of the one further document where that lies beyond.
+    plan = plan.withColumn("started", F.when(F.col("mark") > 0, _block(F.shiftright(F.col("mark") - 1, 64 - DIGIT_BITS * DIGITS + 24), F.col("blocks")) + 1).otherwise(0))
+    plan = plan.withColumn("apart", F.when(F.col("pick_h").isNotNull() & (_block_of("pick_h", "blocks") >= F.col("started")), _block_of("pick_h", "blocks")))
+    plan = plan.select("place", "whole", "mark", "pick_h", "pick_id", "blocks", "started", "apart", F.col("source_size").alias("words")).orderBy("place")
     held = plan.collect()  # one row a source, MAX_SOURCES at most
-    places = np.array([r["place"] for r in held], np.int64)
-    blocks = np.array([r["blocks"] for r in held], np.int64)
-    # Every source draws each of its blocks once for each whole copy, and once for the rest.
-    quotas = np.array([r["blocks"] * (r["whole"] + 1) if r["words"] else 0 for r in held], np.int64)
+    places, blocks, started = (np.array([r[c] for r in held], np.int64) for c in ("place", "blocks", "started"))
+    apart = np.array([-1 if r["apart"] is None else r["apart"] for r in held], np.int64)
+    wholes = np.array([r["whole"] for r in held], np.int64)
+    quotas = np.array([r["blocks"] * r["whole"] + r["started"] + (r["apart"] is not None) if r["words"] else 0 for r in held], np.int64)
     shards = max(1, -(-int(quotas.sum()) // shard_draws))
 
     def draw(batches):
@@ -201,13 +226,16 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
                 out = []
                 for s in np.flatnonzero(n):
                     at = permuted(np.arange(start[s], start[s] + n[s]), int(quotas[s]), seed + int(places[s]))
-                    out.append(np.stack([np.full(len(at), places[s]), at % blocks[s], at // blocks[s], np.full(len(at), shard)]))
+                    copy, block = np.minimum(at // blocks[s], wholes[s]), at % blocks[s]
+                    rest = at - wholes[s] * blocks[s]
+                    block = np.where(rest < 0, block, np.where(rest < started[s], rest, apart[s]))
+                    out.append(np.stack([np.full(len(at), places[s]), block, copy, np.full(len(at), shard)]))
                 cols = np.concatenate([*out, np.zeros((4, 0), np.int64)], axis=1).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["place", "block", "copy", "shard"])
 
     draws = spark.range(0, shards, 1, max(1, min(shards, 2 * spark.sparkContext.defaultParallelism))).mapInArrow(draw, "place long, block long, copy long, shard long")
     small = plan.select("place", "whole", "mark", "pick_h", "pick_id", "blocks")
-    dealt = known.join(F.broadcast(small), "place").withColumn("block", F.pmod(F.xxhash64(F.lit(43), "h"), F.col("blocks")))
+    dealt = known.join(F.broadcast(small), "place").withColumn("block", _block_of("h", "blocks"))
     picked = F.col("pick_h").isNotNull() & (F.col("h") == F.col("pick_h")) & F.col("doc_id").eqNullSafe(F.col("pick_id"))
     taken = dealt.join(draws, ["place", "block"]).where((F.col("copy") < F.col("whole")) | _below(F.col("h"), F.col("mark")) | picked)
     turn = F.xxhash64(F.lit(seed), "shard", "h", "copy")
