@@ -24,7 +24,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import struct
-from functools import lru_cache
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -301,16 +301,6 @@ class Codec:
         return data, stream.finish()
 
 
-@lru_cache(maxsize=2)
-def codec(rank_file: bytes, pattern: str) -> Codec:
-    return Codec(rank_file, pattern)
-
-
-def _codec_of(shared) -> Codec:
-    rank_file, pattern = shared.value
-    return codec(rank_file, pattern)
-
-
 def _rank_file(spark, path: str, pattern: str):
     with open(path, "rb") as f:
         data = f.read()
@@ -319,29 +309,36 @@ def _rank_file(spark, path: str, pattern: str):
     return spark.sparkContext.broadcast((data, pattern))
 
 
-def encode_texts(docs: DataFrame, rank_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode_texts(docs: DataFrame, rank_path: str, pattern: str, text_col: str = "text", verify: bool = False) -> DataFrame:
     """Every row with its token ids: the columns of ``docs`` and token_ids array<int>.
 
     ``rank_path`` is read by the driver (at most 64 MB) and broadcast. The whole text
-    is encoded, without special tokens; a null or empty text has no ids. Repeated
-    rows are encoded each; an empty table gives an empty result. A column of
-    ``docs`` named token_ids is replaced.
+    is encoded, however long, without special tokens; a null or empty text has no ids. Repeated
+    rows are encoded each; an empty table gives an empty result. With ``verify`` the ids are decoded
+    again by the streaming decoder, and round_trip says whether that gave the text's bytes. Columns of
+    ``docs`` named token_ids, or with ``verify`` round_trip, are replaced. Of each row only the text goes to Python.
     """
     small_batches(docs.sparkSession)
     shared = _rank_file(docs.sparkSession, rank_path, pattern)
-    rest = docs.drop("token_ids")
-    schema = ", ".join(f"`{n}` {t}" for n, t in rest.dtypes)
 
-    def run(batches):
-        c = _codec_of(shared)
+    @F.arrow_udf("struct<token_ids: array<int>, round_trip: boolean>")
+    def encoded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        c = Codec(*shared.value)
         for b in batches:
-            texts = b.column(b.schema.get_field_index(text_col)).to_pylist()
-            ids = [c.encode(t or "") for t in texts]
+            ids, same = [], []
+            for text in b.to_pylist():
+                ids.append(c.encode(text or ""))
+                if verify:
+                    data, valid = c.decode(ids[-1])
+                    same.append(valid and data == (text or "").encode())
             offsets = pa.array(np.cumsum([0, *map(len, ids)]).astype(np.int32))
             flat = pa.array(np.concatenate([*ids, np.zeros(0, "<u4")]).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.ListArray.from_arrays(offsets, flat)], [*b.schema.names, "token_ids"])
+            yield pa.StructArray.from_arrays([pa.ListArray.from_arrays(offsets, flat), pa.array(same if verify else [None] * len(ids), pa.bool_())], ["token_ids", "round_trip"])
 
-    return rest.mapInArrow(run, f"{schema}, token_ids array<int>")
+    made = ("token_ids", "round_trip") if verify else ("token_ids",)
+    rows = docs.drop(*made)
+    held = "_encoded" + "_" * max(map(len, rows.columns), default=0)
+    return rows.withColumn(held, encoded(F.col(text_col))).select(*(F.col(f"`{c}`") for c in rows.columns), *(F.col(f"{held}.{c}") for c in made))
 
 
 def decode_ids(rows: DataFrame, rank_path: str, pattern: str, ids_col: str = "token_ids") -> DataFrame:
@@ -355,7 +352,7 @@ def decode_ids(rows: DataFrame, rank_path: str, pattern: str, ids_col: str = "to
     schema = ", ".join(f"`{n}` {t}" for n, t in rest.dtypes)
 
     def run(batches):
-        c = _codec_of(shared)
+        c = Codec(*shared.value)  # a task has its own: workers outlive tasks, and a memo is large
         for b in batches:
             column = b.column(b.schema.get_field_index(ids_col))
             out = [c.decode(x.values.to_numpy(zero_copy_only=False).astype("<u4") if x.is_valid else np.zeros(0, "<u4")) for x in column]
@@ -374,7 +371,7 @@ def round_trip(docs: DataFrame, rank_path: str, pattern: str, id_col: str = "doc
     shared = _rank_file(docs.sparkSession, rank_path, pattern)
 
     def run(batches):
-        c = _codec_of(shared)
+        c = Codec(*shared.value)  # a task has its own: workers outlive tasks, and a memo is large
         for b in batches:
             n, a, d, v = [], [], [], []
             for text in b.column(1).to_pylist():

@@ -3,6 +3,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 pytest.importorskip("loomtide.llm")
 
@@ -252,20 +253,63 @@ def test_wrapped_and_commented_licenses(spark):
     assert set(want) <= got and not [g for g in got if g[0] == 900]
 
 
-def test_mix_meets_targets_and_repeats(docs, empty):
+def brute_targets(sizes, weights=(5.0, 2.0, 1.0), most=3.0):
+    """Targets of sources in order, by sharing the excess again until none is above its limit."""
+    names = sorted((n for n in sizes if n is not None)) + [None] * (None in sizes)
+    weight = {n: weights[i % len(weights)] for i, n in enumerate(names)}
+    stopped, out = set(), {}
+    while True:
+        free = sum(sizes.values()) - sum(most * sizes[n] for n in stopped)
+        out = {n: most * sizes[n] if n in stopped else free * weight[n] / sum(weight[m] for m in names if m not in stopped) for n in names}
+        over = {n for n in names if n not in stopped and out[n] > most * sizes[n]}
+        if not over:
+            return out
+        stopped |= over
+
+
+def test_mix_meets_targets_and_repeats(spark, docs, empty):
     one = sorted(tuple(r) for r in mixing.taken_words(docs).collect())
     assert one == sorted(tuple(r) for r in mixing.taken_words(docs).collect())
     assert len(one) == len(TEXTS) and all(t <= 3 * s for _, s, _, _, t in one)
     sizes = {i: len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for i, t in enumerate(TEXTS)}
     assert {i: s for i, s, *_ in one} == sizes
     assert mixing.taken_words(empty).collect() == []
+    draw = np.random.default_rng(8)
+    rows = [(None if i % 97 == 0 else i, "w " * int(draw.integers(0, 90)), [None, "a", "b", "c", "d"][int(draw.choice(5, p=[0.1, 0.02, 0.5, 0.3, 0.08]))]) for i in range(3000)]
+    got = mixing.taken_words(spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("block", F.lit(1))).collect()
+    sizes, by = {}, {}
+    for i, t, s in rows:
+        sizes[s] = sizes.get(s, 0) + t.count("w")
+    want = brute_targets(sizes)
+    assert len(got) == len(rows)
+    source = {i: s for i, _, s in rows}
+    for r in got:
+        if r["doc_id"] is not None:
+            assert r["source_size"] == sizes[source[r["doc_id"]]] and abs(r["target"] - want[source[r["doc_id"]]]) < 1e-6 and r["taken"] in (0, r["size"], 2 * r["size"], 3 * r["size"])
+        by[r["source_size"]] = by.get(r["source_size"], 0) + r["taken"]
+    assert all(abs(by[sizes[s]] - want[s]) <= 90 for s in sizes)
 
 
 def test_targets_share_the_excess(spark):
-    rows = spark.createDataFrame([("a", 10), ("b", 500), ("c", 300), (None, 190)], "source string, source_size long")
-    got = {r["source"]: r["target"] for r in mixing.targets(rows).collect()}
-    assert got["a"] == 30 and abs(sum(got.values()) - 1000) < 1e-9
-    assert abs(got["b"] - 970 * 2 / 8) < 1e-9 and abs(got["c"] - 970 / 8) < 1e-9 and got[None] == 570 or got[None] <= 570
+    sizes = {"a": 10, "b": 500, "c": 300, None: 190}
+    got = {r["source"]: r["target"] for r in mixing.targets(spark.createDataFrame(list(sizes.items()), "source string, source_size long")).collect()}
+    assert got["a"] == 30 and got[None] == 570 and abs(got["b"] - 800 / 3) < 1e-9 and abs(got["c"] - 400 / 3) < 1e-9
+    assert got == pytest.approx(brute_targets(sizes))
+
+
+def test_every_draw_of_a_quota_takes_its_block_once(spark):
+    rows = [(i, "w " * (1 + i % 40), "ab"[i % 3 == 0]) for i in range(2000)]
+    stream, known = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), shard_draws=16)
+    taken = stream.groupBy("doc_id", "copy").count().where("count > 1").count()
+    assert taken == 0 and stream.select("shard").distinct().count() > 2
+
+
+def test_wide_draws_follow_the_distribution():
+    draw = np.random.default_rng(4)
+    exact = [mixing._wide_hypergeometric(draw, 300, 700, 100) for _ in range(4000)]
+    assert abs(np.mean(exact) - 30) < 0.3 and abs(np.var(exact) - 100 * 0.3 * 0.7 * 900 / 999) < 1.5
+    big = [mixing._wide_hypergeometric(draw, 3 * 10**10, 7 * 10**10, 10**10) for _ in range(30)]
+    assert all(abs(x - 3 * 10**9) < 8 * np.sqrt(1.9e9) for x in big) and len(set(big)) > 20
 
 
 def test_shards_divide_the_quotas():
@@ -332,6 +376,33 @@ def test_a_text_in_parts_scores_as_a_whole():
         assert np.allclose(model.scores(hashes, offsets, piece), want, atol=1e-5)
 
 
+def test_replies_in_a_cycle_take_no_part(spark):
+    kinds = "tree long, node long, parent long, role string, text string, score double"
+    rows = [(1, 0, None), (1, 1, 0), (1, 2, 1), (2, 0, 1), (2, 1, 0), (2, 2, 1), (2, 3, 2), (3, 0, 0), (3, 1, 0), (3, 7, None), (4, 5, 5)]
+    got = chat.paths(spark.createDataFrame([(*r, "user", "x", 0.0) for r in rows], kinds)).collect()
+    assert sorted((r["tree"], r["leaf"], r["node"], r["up"]) for r in got) == [(1, 2, 0, 2), (1, 2, 1, 1), (1, 2, 2, 0), (3, 7, 7, 0)]
+
+
+def test_products_of_negative_repeated_and_large_ids(spark):
+    rows = [(-100, [1.0, 2.0]), (-100, [3.0, 0.0]), (7, [2.0, 2.0]), (7, [2.0, 2.0]), (100, [0.0, -1.0]), (9, [2.0**20, 2.0**20]), (200, [2.0**20, 1.0])]
+    v = spark.createDataFrame([(*r, 1, 1) for r in rows], "vec_id long, embedding array<double>, id long, block long")
+    got = topk.top_products(v, v.where("vec_id % 100 = 0"), k=3).collect()
+    whole = [(i, [int(1024 * x) for x in e]) for i, e in rows]
+    for q in (-100, 100, 200):
+        asked = [e for i, e in whole if i == q]
+        best = sorted((-max(sum(a * b for a, b in zip(e, x, strict=True)) for x in asked), i) for i, e in whole if i != q)
+        mine = sorted((r["rank"], r["vec_id"], r["score"]) for r in got if r["query_id"] == q)
+        if len(asked) == 1:
+            assert mine == [(k + 1, i, -s) for k, (s, i) in enumerate(best[:3])]
+        else:
+            assert [m[2] for m in mine][0] == -best[0][0]
+    near = onebit.nearest(v, v.where("vec_id % 100 = 0"), k=20).where("query_id = 100").collect()
+    assert len(near) == len(rows) - 1
+    big = spark.createDataFrame([(0, [2.0**24, 2.0**24]), (1, [2.0**24, 3.0])], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="beyond 64 bits"):
+        topk.top_products(big, big, scale=1 << 20).collect()
+
+
 def test_chat_trees_and_reading_back(spark):
     texts = [r"\### Assistant: </turn> ok", "\\h\\l\\\\", None, "a </turn>\n### User: b", "\U0001f600 #<>\\"]
     roles = ["user", "assistant", "odd: role", "Assistant", "assistant"]
