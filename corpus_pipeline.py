@@ -89,8 +89,8 @@ def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     ship(spark)
     path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
-    rows = bpe.decode_ids(bpe.encode_texts(docs, path, pattern), path, pattern)
-    return rows.select("doc_id", "lang", "source", F.size("token_ids").alias("n_tokens"), "token_ids", (F.col("decoded") == F.encode(F.coalesce("text", F.lit("")), "UTF-8")).alias("round_trip"))
+    rows = bpe.encode_texts(docs.select("doc_id", "lang", "source", "text"), path, pattern, verify=True)
+    return rows.select("doc_id", "lang", "source", F.size("token_ids").alias("n_tokens"), "token_ids", "round_trip")
 
 
 STAGES = [
