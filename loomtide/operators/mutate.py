@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+#: Ids that one task numbers within a relation.
+RANGE = 1 << 20
 
 def change_detect(writes: DataFrame, attribute: str) -> DataFrame:
     """The writes that change the attribute against the one before; equal ones make no version."""
@@ -42,15 +44,35 @@ def clone_nodes(states: DataFrame, offset: int) -> DataFrame:
 
 
 def add_to_relation(sources: DataFrame, added: DataFrame, rel: str) -> DataFrame:
-    """Every added node after every source's own: (src, rel, pos, dst); sources carry their relation's size.
+    """Added nodes (src, id) after their source's own: (src, rel, pos, dst); sources (id, size) carry their relation's size.
 
-    The product of two sets is the operation's meaning: variables hold few nodes.
+    Nodes of one source are numbered in order of their ids, in two steps: within ranges of ids, and by the
+    counts of the ranges before, so a source that a third of the nodes go to is many tasks.
     """
-    order = Window.orderBy("dst")
-    few = added.select(F.col("id").alias("dst")).withColumn("_p", F.row_number().over(order) - 1)
-    listed = few.agg(F.array_sort(F.collect_list(F.struct("_p", "dst"))).alias("l"))
-    out = sources.select(F.col("id").alias("src"), "size").withColumn("_j", F.lit(1)).join(F.broadcast(listed.withColumn("_j", F.lit(1))), "_j").select("src", "size", F.explode("l").alias("x"))
-    return out.select("src", F.lit(rel).alias("rel"), (F.col("size") + F.col("x._p")).cast("long").alias("pos"), F.col("x.dst").alias("dst"))
+    spread = added.select("src", F.col("id").alias("dst")).withColumn("_r", F.floor(F.col("dst") / RANGE))
+    ends = spread.groupBy("src", "_r").agg(F.count("*").alias("_n"))
+    # A row a source and range of ids.
+    before = ends.withColumn("_b", F.coalesce(F.sum("_n").over(Window.partitionBy("src").orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    placed = spread.withColumn("_p", F.row_number().over(Window.partitionBy("src", "_r").orderBy("dst")) - 1).join(before.drop("_n"), ["src", "_r"])
+    out = placed.join(sources.select(F.col("id").alias("src"), "size"), "src")
+    return out.select("src", F.lit(rel).alias("rel"), (F.col("size") + F.col("_b") + F.col("_p")).cast("long").alias("pos"), "dst")
+
+
+def remove_from_relation(edges: DataFrame, removed: DataFrame, rel: str) -> DataFrame:
+    """``edges`` without the first occurrence, in order, of each pair (src, dst) in ``removed``; later ones move up."""
+    gone = removed.select("src", "dst").groupBy("src", "dst").agg(F.count("*").alias("_gone"))
+    mine = edges.where(F.col("rel") == rel)
+    turn = F.row_number().over(Window.partitionBy("src", "dst").orderBy("pos"))
+    left = mine.withColumn("_t", turn).join(gone, ["src", "dst"], "left").where("_gone is null or _t > _gone").drop("_t", "_gone")
+    pos = (F.row_number().over(Window.partitionBy("src").orderBy("pos")) - 1).cast("long")
+    return edges.where(F.col("rel") != rel).unionByName(left.withColumn("pos", pos).select(*edges.columns))
+
+
+def traverse_or_keep(nodes: DataFrame, edges: DataFrame, rel: str) -> DataFrame:
+    """(src, pos, id): the nodes a relation leads to, and each node without that relation itself."""
+    out = edges.where(F.col("rel") == rel).select("src", "pos", F.col("dst").alias("id"))
+    asked = nodes.select(F.col("id").alias("src"))
+    return asked.join(out, "src", "left").select("src", F.coalesce("pos", F.lit(0).cast("long")).alias("pos"), F.coalesce("id", "src").alias("id"))
 
 
 def opposite(edges: DataFrame, name: str) -> DataFrame:

@@ -19,6 +19,53 @@ def gaussian(df: DataFrame, x: str, *by: str) -> DataFrame:
     return df.groupBy(*by).agg(F.count(x).alias("total"), F.min(x).alias("min"), F.max(x).alias("max"), F.avg(x).alias("avg"), F.sqrt(variance(x)).alias("std"))
 
 
+def sums(df: DataFrame, x: str, *by: str) -> DataFrame:
+    """A profile that can be merged: total, sum, sumsq, min and max of the values that are not null."""
+    return df.groupBy(*by).agg(F.count(x).alias("total"), F.sum(x).alias("sum"), F.sum(F.col(x) * F.col(x)).alias("sumsq"), F.min(x).alias("min"), F.max(x).alias("max"))
+
+
+def merged(profiles: DataFrame, *by: str) -> DataFrame:
+    """Profiles of ``sums`` put together."""
+    return profiles.groupBy(*by).agg(*(F.sum(c).alias(c) for c in ("total", "sum", "sumsq")), F.min("min").alias("min"), F.max("max").alias("max"))
+
+
+def finished(profiles: DataFrame) -> DataFrame:
+    """``sums`` or ``merged`` with avg and std; std is 0 for one value, both are null for none."""
+    n = F.col("total")
+    spread = F.greatest(F.lit(0.0), (F.col("sumsq") - F.col("sum") * F.col("sum") / n) / F.greatest(n - 1, F.lit(1)))
+    return profiles.withColumn("avg", F.try_divide("sum", "total")).withColumn("std", F.when(n > 1, F.sqrt(spread)).when(n == 1, 0.0))
+
+
+def drawn(profiles: DataFrame, count: int, seed: int = 1) -> DataFrame:
+    """``count`` draws (draw from 0, value) from each finished profile's normal distribution; a seed gives the same draws again."""
+    keys = [c for c in profiles.columns if c not in ("total", "sum", "sumsq", "min", "max", "avg", "std")]
+    unit = lambda s: (F.pmod(F.xxhash64(F.lit(seed + s), "draw", *keys), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+    each = profiles.where("avg is not null").withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(count - 1))))
+    return each.select(*keys, "draw", (F.col("avg") + F.col("std") * F.sqrt(-2 * F.ln(unit(0))) * F.cos(6.283185307179586 * unit(1))).alias("value"))
+
+
+def denormalised(df: DataFrame, z: str, profiles: DataFrame, *by: str) -> DataFrame:
+    """``df`` with value: the inverse of the z score, avg + z * std of its group."""
+    p = profiles.select(*by, F.col("avg").alias("_a"), F.col("std").alias("_s"))
+    return df.join(p, list(by)).withColumn("value", F.col("_a") + F.col(z) * F.col("_s")).drop("_a", "_s")
+
+
+def cell_mixture(df: DataFrame, columns: list[str], low: list[float], width: list[float], levels: int, weight: str | None = None) -> DataFrame:
+    """A Gaussian for each grid cell of each level, the width halving from level to level: level, cell, n, mean, cov.
+
+    Every value counts in one cell of each level, so a cell's profile is the sum of those below it. cov has the upper
+    triangle by rows, 0 for one value; ``weight`` says how often a row occurred.
+    """
+    w = F.lit(1.0) if weight is None else F.col(weight).cast("double")
+    rows = df.dropna(subset=columns).withColumn("_w", w).withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(levels - 1))))
+    cell = F.array(*(F.floor((F.col(c) - a) / (b / F.pow(F.lit(2.0), F.col("level")))).cast("long") for c, a, b in zip(columns, low, width, strict=True)))
+    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i:]]
+    out = rows.groupBy("level", cell.alias("cell")).agg(F.sum("_w").alias("n"), F.array(*(F.sum(F.col(c) * F.col("_w")) for c in columns)).alias("_s"), F.array(*(F.sum(F.col(a) * F.col(b) * F.col("_w")) for a, b in pairs)).alias("_p"))
+    at = {c: i for i, c in enumerate(columns)}
+    cov = F.array(*(F.when(F.col("n") > 1, (F.col("_p")[k] - F.col("_s")[at[a]] * F.col("_s")[at[b]] / F.col("n")) / F.greatest(F.col("n") - 1, F.lit(1e-300))).otherwise(0.0) for k, (a, b) in enumerate(pairs)))
+    return out.select("level", "cell", "n", F.transform("_s", lambda x: x / F.col("n")).alias("mean"), cov.alias("cov"))
+
+
 def bounded(df: DataFrame, x: str, low: float, high: float) -> DataFrame:
     """Counts of null, rejected and accepted values, and the profile of the accepted ones."""
     ok = F.col(x).between(low, high)
@@ -102,10 +149,10 @@ def incomplete_beta(x: float, a: float, b: float) -> float:
 
 
 def pca(df: DataFrame, columns: list[str], dimension: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Means, components (columns, largest first) and singular values of the covariance, summed on Spark."""
+    """Means, components (columns, largest first) and singular values of the covariance, summed on Spark over the rows without nulls."""
     d = len(columns)
-    means = np.array(df.agg(*(F.avg(c) for c in columns)).first(), float)
-    n = df.count()
+    one = df.dropna(subset=columns).agg(*(F.avg(c) for c in columns), F.count("*")).first()
+    means, n = np.array(one[:d], float), one[d]
     rows = {(r["i"], r["j"]): r["cov"] for r in covariance(df, columns).collect()}  # d * d numbers
     c = np.array([[rows.get((a, b), rows.get((b, a))) for b in columns] for a in columns], float).reshape(d, d)
     values, vectors = np.linalg.eigh(c)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 
@@ -27,19 +28,67 @@ def autocorrelation(df: DataFrame, x: str, lag: int, by: str = "id", time: str =
 
 
 def periodicity(df: DataFrame, x: str, low: int, high: int, by: str = "id", time: str = "time") -> DataFrame:
-    """(id, period, score) of each candidate: mean correlation of each whole chunk with the folded sum."""
+    """(id, period, score) of each candidate: mean correlation of each whole chunk with the folded sum of all values."""
     w = Window.partitionBy(by).orderBy(time)
     rows = df.withColumn("_i", F.row_number().over(w) - 1).select(by, "_i", F.col(x).alias("_v"))
     each = rows.withColumn("period", F.explode(F.sequence(F.lit(low), F.lit(high)))).withColumn("_p", F.col("_i") % F.col("period")).withColumn("_c", F.floor(F.col("_i") / F.col("period")))
     size = each.groupBy(by, "period", "_c").agg(F.count("*").alias("_n"))
     whole = each.join(size.where("_n = period").drop("_n"), [by, "period", "_c"])
-    fold = whole.groupBy(by, "period", "_p").agg(F.sum("_v").alias("_f"))
+    fold = each.groupBy(by, "period", "_p").agg(F.sum("_v").alias("_f"))
     both = whole.join(fold, [by, "period", "_p"])
     n, a, b = F.count("*"), F.sum("_v"), F.sum("_f")
     r = F.try_divide(F.sum(F.col("_v") * F.col("_f")) - a * b / n, F.sqrt((F.sum(F.col("_v") * F.col("_v")) - a * a / n) * (F.sum(F.col("_f") * F.col("_f")) - b * b / n)))
     return both.groupBy(by, "period", "_c").agg(r.alias("_r")).groupBy(by, "period").agg(F.avg(F.coalesce("_r", F.lit(0.0))).alias("score"))
 
 
+def best_period(scores: DataFrame, by: str = "id") -> DataFrame:
+    """(id, period, score) of the best candidate of ``periodicity``, the shortest of equal ones."""
+    return scores.groupBy(by).agg(F.max_by(F.struct("period", "score"), F.struct("score", -F.col("period"))).alias("s")).select(by, "s.period", "s.score")
+
+
+def autocorrelation_function(df: DataFrame, x: str, lags: int, by: str = "id", time: str = "time") -> DataFrame:
+    """(id, lag, n, r) for lags from 0 to below ``lags``, from one sort of the series."""
+    w = Window.partitionBy(by).orderBy(time)
+    held = df.select(by, F.col(x).alias("_x"), F.array(*(F.lag(x, k).over(w) for k in range(lags))).alias("_l"))
+    pairs = held.select(by, "_x", F.posexplode("_l").alias("lag", "_y")).where("_x is not null and _y is not null")
+    n, a, b = F.count("*"), F.sum("_x"), F.sum("_y")
+    cov = F.sum(F.col("_x") * F.col("_y")) - a * b / n
+    va, vb = F.sum(F.col("_x") * F.col("_x")) - a * a / n, F.sum(F.col("_y") * F.col("_y")) - b * b / n
+    return pairs.groupBy(by, "lag").agg(n.alias("n"), F.coalesce(F.try_divide(cov, F.sqrt(va * vb)), F.lit(0.0)).alias("r"))
+
+
+def polynomial_fit(df: DataFrame, x: str, y: str, degree: int, by: str = "id") -> DataFrame:
+    """(id, low, span, n, weights, rmse): least squares of a degree in u = (x - low) / span, from sums of powers.
+
+    The sums are partial on every task, so a long series is no single group; each series' small system is then solved.
+    Rows without x or y take no part; a series of few points has the degree that its points allow.
+    """
+    rows = df.select(by, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y")).where("_x is not null and _y is not null")
+    ends = rows.groupBy(by).agg(F.min("_x").alias("low"), (F.max("_x") - F.min("_x")).alias("_w")).withColumn("span", F.when(F.col("_w") > 0, F.col("_w")).otherwise(1.0)).drop("_w")
+    u = rows.join(ends, by).withColumn("_u", (F.col("_x") - F.col("low")) / F.col("span") * 2 - 1)
+    sums = u.groupBy(by, "low", "span").agg(F.count("*").alias("n"), F.sum(F.col("_y") * F.col("_y")).alias("_yy"), F.array(*(F.sum(F.pow("_u", F.lit(k))) for k in range(2 * degree + 1))).alias("_s"), F.array(*(F.sum(F.pow("_u", F.lit(k)) * F.col("_y")) for k in range(degree + 1))).alias("_t"))
+
+    @F.arrow_udf("struct<weights: array<double>, rmse: double>")
+    def solved(n: pa.Array, yy: pa.Array, s: pa.Array, t: pa.Array) -> pa.Array:
+        out = []
+        for count, square, powers, moments in zip(n.to_pylist(), yy.to_pylist(), s.to_pylist(), t.to_pylist(), strict=True):
+            k = min(degree, count - 1) + 1
+            gram = np.array([[powers[i + j] for j in range(k)] for i in range(k)])
+            w = np.linalg.lstsq(gram, np.array(moments[:k]), rcond=None)[0]
+            error = square - 2 * w @ np.array(moments[:k]) + w @ gram @ w
+            out.append({"weights": w.tolist(), "rmse": float(np.sqrt(max(0.0, error) / count))})
+        return pa.array(out, pa.struct([("weights", pa.list_(pa.float64())), ("rmse", pa.float64())]))
+
+    return sums.withColumn("_f", solved("n", "_yy", "_s", "_t")).select(by, "low", "span", "n", "_f.weights", "_f.rmse")
+
+
+def extrapolate(fits: DataFrame, at: DataFrame, x: str, by: str = "id") -> DataFrame:
+    """The rows of ``at`` (id, x) with the fitted value, also outside of the points."""
+    u = (F.col(x) - F.col("low")) / F.col("span") * 2 - 1
+    value = F.aggregate(F.reverse("weights"), F.lit(0.0), lambda s, w: s * u + w)
+    return at.join(fits, by).withColumn("fitted", value).select(*at.columns, "fitted")
+
+
 def linear_fit(df: DataFrame, x: str, y: str, by: str = "id") -> DataFrame:
     """Least squares of degree 1 from sums."""
     return df.groupBy(by).agg(F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"))

@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import distances
-from .resolve import small
+
+#: Blocks of points and of queries that are held against each other.
+BLOCKS = 16
 
 
 def keep_last(points: DataFrame, order: str = "seq") -> DataFrame:
@@ -20,10 +22,14 @@ def around(points: DataFrame, queries: DataFrame, k: int = -1, radius: float = -
     """Each query's points by distance: query_id, rank, point_id, distance.
 
     At most k of them (k <= 0: all) with distance below the radius (radius <= 0: all).
-    ``queries`` (query_id, q) is a stated set held against all points; it is broadcast
-    while it is small. Ties go to the smaller point_id.
+    ``queries`` (query_id, q) is a stated set held against all points, in ``BLOCKS`` blocks of points and queries by hash:
+    each pair of blocks is one group of an equi-join, whatever the number of queries; a small set is broadcast by Spark's own
+    estimate. Ties go to the smaller point_id.
     """
-    pairs = points.select(F.col("id").alias("point_id"), "key").join(small(queries, 100_000).hint("broadcast"), F.size("key") == F.size("q"))
+    every = F.explode(F.array(*(F.lit(i) for i in range(BLOCKS))))
+    p = points.select(F.col("id").alias("point_id"), "key", F.size("key").alias("_d"), F.pmod(F.xxhash64("id"), F.lit(BLOCKS)).cast("int").alias("_b"))
+    q = queries.select("query_id", "q", F.size("q").alias("_d"), F.pmod(F.xxhash64("query_id"), F.lit(BLOCKS)).cast("int").alias("_c"))
+    pairs = p.withColumn("_c", every).join(q.withColumn("_b", every), ["_d", "_b", "_c"])
     found = pairs.select("query_id", "point_id", distance(F.col("key"), F.col("q")).alias("distance"))
     if radius > 0:
         found = found.where(F.col("distance") < radius)
@@ -57,3 +63,11 @@ def tree_profile(points: DataFrame, low: list[float], width: list[float], weight
     """Summed weights of the grid cells; a width of 0 or less collapses its dimension."""
     cells = [F.floor((F.col("key")[i] - a) / w).cast("long") if w > 0 else F.lit(0).cast("long") for i, (a, w) in enumerate(zip(low, width, strict=True))]
     return points.groupBy(*(c.alias(f"cell{i}") for i, c in enumerate(cells))).agg(F.sum(weight).alias("weight"), F.count("*").alias("n"))
+
+
+def regrouped(hits: DataFrame, resolutions: list[float]) -> DataFrame:
+    """Hits (key, distance) on a coarser grid: cell, n, nearest; a resolution of 0 or less collapses its dimension. The largest cells come first by share."""
+    cell = F.array(*(F.floor(F.col("key")[i] / r).cast("long") if r > 0 else F.lit(0).cast("long") for i, r in enumerate(resolutions)))
+    cells = hits.groupBy(cell.alias("cell")).agg(F.count("*").alias("n"), F.min("distance").alias("nearest"))
+    total = hits.agg(F.count("*").alias("_all"))
+    return cells.join(F.broadcast(total)).withColumn("share", F.col("n") / F.col("_all")).drop("_all")  # one row

@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..functions import distances, math as M
+from ..functions import distances, expression, math as M
 from ..operators import mutate, neural, profile, resolve, series, spatial, traverse
 from ..operators.graph import TemporalGraph
+from ..operators.index import Indexes
 from ..sources import tabular
 
 NOON = 1_705_320_000_000_000  # 15 January 2024, 12:00 UTC, in microseconds
@@ -197,12 +198,52 @@ def clone_nodes(spark, sf_dir):
     return g.clone(at, 1_000_000).versions.where("id >= 1000000").select("id", "time", "event_type", "value")
 
 
-@query("WITH v AS (SELECT c_custkey AS dst, row_number() OVER (ORDER BY c_custkey) - 1 AS p FROM customer WHERE c_custkey % 300 = 1), s AS (SELECT n_nationkey AS src, (SELECT count(*) FROM customer WHERE c_nationkey = n_nationkey) AS n FROM nation) SELECT CAST(src AS BIGINT) AS src, 'members' AS rel, CAST(n + p AS BIGINT) AS pos, dst FROM s, v")
+@query("SELECT CAST(c_nationkey AS BIGINT) AS src, 'members' AS rel, CAST(coalesce(n, 0) + row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS BIGINT) AS pos, c_custkey AS dst FROM customer LEFT JOIN (SELECT s_nationkey, count(*) AS n FROM supplier GROUP BY 1) ON s_nationkey = c_nationkey")
 def add_var_to(spark, sf_dir):
-    c = table(spark, sf_dir, "customer")
-    sizes = c.groupBy(F.col("c_nationkey").alias("id")).agg(F.count("*").alias("size"))
-    nations = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("id")).join(sizes, "id", "left").na.fill(0, ["size"])
-    return mutate.add_to_relation(nations, c.where("c_custkey % 300 = 1").select(F.col("c_custkey").alias("id")), "members")
+    sizes = table(spark, sf_dir, "supplier").groupBy(F.col("s_nationkey").alias("id")).agg(F.count("*").alias("size"))
+    nations = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("id")).join(sizes, "id", "left").na.fill(0, ["size"]).select(F.col("id").cast("long").alias("id"), "size")
+    members = table(spark, sf_dir, "customer").select(F.col("c_nationkey").cast("long").alias("src"), F.col("c_custkey").alias("id"))
+    return mutate.add_to_relation(nations, members, "members")
+
+
+@query(f"""WITH {VER}, s AS (SELECT id, arg_max(value, time) FILTER (WHERE time <= {NOON}) AS v FROM ver GROUP BY id)
+SELECT id, {NOON} AS time, 'first' AS event_type, v AS value FROM s UNION ALL SELECT id, {NOON + 2}, 'second', v FROM s""")
+def set_attribute_batch(spark, sf_dir):
+    g = TemporalGraph.of(versions(spark, sf_dir))
+    writes = F.array(*(F.struct(F.lit(NOON + t).alias("time"), F.lit(v).alias("value")) for t, v in ((0, "first"), (1, "first"), (2, "second"))))
+    batch = g.versions.select("id").distinct().select("id", F.lit(0).cast("long").alias("world"), F.inline(writes))
+    return g.set_attribute("event_type", batch).versions.where(F.col("time").between(NOON, NOON + 2)).select("id", "time", "event_type", "value")
+
+
+@query(f"WITH {VER}, e AS (SELECT id, min(time) + {DAY} AS end_time FROM ver WHERE id % 3 = 0 GROUP BY id) SELECT id, max(time) AS res_time, arg_max(value, time) AS value FROM ver LEFT JOIN e USING (id) WHERE time <= {NOON} AND (end_time IS NULL OR {NOON} <= end_time) GROUP BY id")
+def end_at(spark, sf_dir):
+    v = versions(spark, sf_dir)
+    ends = v.where("id % 3 = 0").groupBy("id", "world").agg((F.min("time") + DAY).alias("end_time"))
+    return TemporalGraph.of(v).end(ends).at(NOON).select("id", "res_time", "value")
+
+
+@query(f"WITH {VER}, r AS (SELECT event_id AS pos, id + event_id % 2 * 1000000 AS id, time - {HOUR} AS time FROM ver), f AS (SELECT r.pos, r.id, r.time, v.time AS res_time, v.value FROM r ASOF LEFT JOIN ver v ON r.id = v.id AND r.time >= v.time) SELECT * FROM f")
+def lookup_all(spark, sf_dir):
+    v = versions(spark, sf_dir, {"event_id": "event_id"})
+    asked = v.select(F.col("event_id").alias("pos"), (F.col("id") + F.col("event_id") % 2 * 1_000_000).alias("id"), "world", (F.col("time") - HOUR).alias("time"))
+    return TemporalGraph.of(v.drop("event_id")).lookup_all(asked).select("pos", "id", "time", "res_time", "value")
+
+
+@query(f"WITH {VER} SELECT id, time, value, pos FROM (SELECT id, time, value, CAST(row_number() OVER (PARTITION BY id ORDER BY time DESC) - 1 AS INTEGER) AS pos FROM ver WHERE id % 10 < 3 AND time BETWEEN {NOON} AND {NOON + 9 * DAY}) WHERE pos < 4")
+def lookup_times(spark, sf_dir):
+    g = TemporalGraph.of(versions(spark, sf_dir))
+    return g.lookup_times(g.versions.select("id").where("id % 10 < 3"), 0, NOON + 9 * DAY, NOON, 4).select("id", "time", "value", "pos")
+
+
+@query("SELECT src, CAST(row_number() OVER (PARTITION BY src ORDER BY dst) - 1 AS BIGINT) AS pos, dst FROM (SELECT o_custkey AS src, o_orderkey AS dst FROM orders WHERE o_orderstatus <> 'F')")
+def remove_from_relation(spark, sf_dir):
+    closed = table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("src"), F.col("o_orderkey").alias("dst"))
+    return mutate.remove_from_relation(_order_edges(spark, sf_dir), closed, "orders").select("src", "pos", "dst")
+
+
+@query("SELECT c_custkey AS src, coalesce(o_orderkey, c_custkey) AS id FROM customer LEFT JOIN orders ON o_custkey = c_custkey")
+def traverse_or_keep(spark, sf_dir):
+    return mutate.traverse_or_keep(_customers(spark, sf_dir), _order_edges(spark, sf_dir), "orders").select("src", "id")
 
 
 # --- indexes, selection, traversal --------------------------------------------
@@ -224,6 +265,30 @@ def read_index_all(spark, sf_dir):
     return traverse.read_index(c.select("id"), c).select("id", "segment")
 
 
+@query("SELECT c_custkey AS id FROM customer WHERE c_mktsegment = 'BUILDING' AND c_nationkey = 7 AND c_custkey % 10 <> 0")
+def index_declared(spark, sf_dir):
+    c = _customers(spark, sf_dir)
+    held = Indexes.empty(spark).declare("home", "segment", "nation").update("home", c).unindex("home", c.where("id % 10 = 0"))
+    return held.read("home", "BUILDING", 7).select("id")
+
+
+@query(f"WITH {VER} SELECT id FROM (SELECT id, arg_max(event_type, time) AS e FROM ver WHERE time <= {NOON} GROUP BY id) WHERE e = 'click'")
+def index_timed(spark, sf_dir):
+    held = Indexes.empty(spark).declare("kind", "event_type", kind="timed").update("kind", versions(spark, sf_dir))
+    return held.read("kind", "click", time=NOON).select("id")
+
+
+@query("SELECT o_custkey AS owner, o_orderkey AS id FROM orders WHERE o_orderstatus = 'F'")
+def index_local(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("owner"), F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status"))
+    return Indexes.empty(spark).declare("orders", "status", kind="local").update("orders", o).read("orders", "F")
+
+
+@query("SELECT unnest(['home', 'kind']) AS name")
+def index_names(spark, sf_dir):
+    return Indexes.empty(spark).declare("home", "segment").declare("kind", "event_type", kind="timed").declare("home", "other").names()
+
+
 @query(f"WITH {VER} SELECT id, arg_max(event_type, time) AS event_type, max(time) AS time FROM ver GROUP BY id")
 def index_update_latest(spark, sf_dir):
     return traverse.update_index(versions(spark, sf_dir).select("id", "event_type", "time"), "time").select("id", "event_type", "time")
@@ -321,6 +386,14 @@ def expr_date(spark, sf_dir):
     return events(spark, sf_dir).select("event_id", *(fn(ms).alias(n) for n, fn in f.items()))
 
 
+@query("""SELECT event_id, round(value * 2 + 3 - value ^ 2 / 7, 4) AS a, CASE WHEN event_id % 5 = 0 AND value > 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS b, CASE WHEN value > 50 THEN round(ln(value - 50), 6) ELSE -1.0 END AS c,
+CASE WHEN event_id % 7 = 0 OR event_id % 3 = 0 AND value < 20 THEN 1.0 ELSE 0.0 END::DOUBLE AS d, floor(-value / 3 + 0.5) AS e FROM events""")
+def expr_text(spark, sf_dir):
+    texts = {"a": "value * 2 + 3 - value ^ 2 / 7", "b": "value / (event_id % 5) > 1000000", "c": "IF(LOG(value - 50) > -1000000, LOG(value - 50), -1)", "d": "event_id % 7 = 0 || event_id % 3 = 0 && value < 20", "e": "ROUND(-value / 3, 0)"}
+    out = {k: expression.compiled(t) for k, t in texts.items()}
+    return events(spark, sf_dir).select("event_id", *((rounded(c, {"a": 4, "c": 6}[k]) if k in "ac" else c).alias(k) for k, c in out.items()))
+
+
 @query("SELECT o_orderkey AS id, round(o_totalprice * 0.9 + 5, 4) AS net FROM orders")
 def derived_attribute(spark, sf_dir):
     o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("price"))
@@ -367,11 +440,11 @@ def _points(spark, sf_dir) -> DataFrame:
 
 
 def _asked(points: DataFrame) -> DataFrame:
-    return points.where("id % 100 = 0").select(F.col("id").alias("query_id"), F.col("key").alias("q"))
+    return points.where("id % 50 = 0").select(F.col("id").alias("query_id"), F.col("key").alias("q"))
 
 
 _PAIRS = """WITH p AS (SELECT vec_id AS id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS key FROM embeddings),
-d AS (SELECT q.id AS query_id, c.id AS point_id, {distance} AS distance FROM p q JOIN p c ON q.id % 100 = 0)"""
+d AS (SELECT q.id AS query_id, c.id AS point_id, {distance} AS distance FROM p q JOIN p c ON q.id % 50 = 0)"""
 _EUCLID = "sqrt(list_sum(list_transform(list_zip(c.key, q.key), lambda z: (z[1] - z[2]) * (z[1] - z[2]))))"
 _COSINE = "1 - greatest(0.0, list_cosine_similarity(c.key, q.key))"
 _RANKED = " SELECT query_id, point_id, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, point_id) AS INTEGER) AS rank FROM d{where}) WHERE rank <= {k}"
@@ -457,6 +530,18 @@ def gauss_slot_array(spark, sf_dir):
     return profile.slot_array(e, "value", ["a", "b"], [3, 4]).withColumn("avg", rounded("avg"))
 
 
+@query("SELECT event_type, count(value) AS total, min(value) AS min, max(value) AS max, round(avg(value), 4) AS avg, round(coalesce(stddev_samp(value), 0), 4) AS std FROM events GROUP BY event_type")
+def merged_profile(spark, sf_dir):
+    days = profile.sums(events(spark, sf_dir).withColumn("day", F.to_date("ts")), "value", "event_type", "day")
+    return profile.finished(profile.merged(days, "event_type")).select("event_type", "total", "min", "max", rounded("avg").alias("avg"), rounded("std").alias("std"))
+
+
+@query("SELECT CAST(level AS INTEGER) AS level, CAST(floor(value / (40.0 / pow(2, level))) AS BIGINT) AS cell, CAST(count(*) AS DOUBLE) AS n, round(avg(value), 4) AS mean, round(coalesce(var_samp(value), 0), 3) AS cov FROM events, generate_series(0, 2) t(level) GROUP BY ALL")
+def cell_mixture(spark, sf_dir):
+    cells = profile.cell_mixture(events(spark, sf_dir), ["value"], [0.0], [40.0], 3)
+    return cells.select("level", F.col("cell")[0].alias("cell"), "n", rounded(F.col("mean")[0]).alias("mean"), rounded(F.col("cov")[0], 3).alias("cov"))
+
+
 _CC = ["l_quantity", "l_extendedprice", "l_discount"]
 
 
@@ -511,7 +596,7 @@ def series_autocorr(spark, sf_dir):
 
 
 @query(f"""WITH {VER}, r AS (SELECT id, value AS v, row_number() OVER (PARTITION BY id ORDER BY time) - 1 AS i FROM ver), e AS (SELECT id, v, p AS period, i % p AS ph, i // p AS c FROM r, generate_series(3, 6) t(p)),
-w AS (SELECT *, count(*) OVER (PARTITION BY id, period, c) AS n FROM e), k AS (SELECT * FROM w WHERE n = period), f AS (SELECT id, period, ph, sum(v) AS f FROM k GROUP BY ALL),
+w AS (SELECT *, count(*) OVER (PARTITION BY id, period, c) AS n FROM e), k AS (SELECT * FROM w WHERE n = period), f AS (SELECT id, period, ph, sum(v) AS f FROM e GROUP BY ALL),
 x AS (SELECT id, period, c, corr(v, f) AS r FROM k JOIN f USING (id, period, ph) GROUP BY ALL) SELECT id, CAST(period AS INTEGER) AS period, round(avg(coalesce(r, 0)), 5) AS score FROM x GROUP BY ALL""")
 def periodicity(spark, sf_dir):
     return series.periodicity(versions(spark, sf_dir), "value", 3, 6).select("id", "period", rounded("score", 5).alias("score"))
@@ -524,6 +609,19 @@ def poly_fit(spark, sf_dir):
     return series.linear_fit(v.join(many, "id"), "x", "value").select("id", rounded("slope").alias("slope"), rounded("intercept").alias("intercept"))
 
 
+@query("""SELECT user_id AS id, round(regr_slope(value, x) * 40 + regr_intercept(value, x), 3) AS fitted, round(sqrt(greatest(0, regr_syy(value, x) * (1 - regr_r2(value, x))) / count(*)), 3) AS rmse
+FROM (SELECT user_id, value, (epoch_us(ts) - 1704067200000000) / 86400000000.0 AS x FROM events) GROUP BY user_id HAVING count(*) > 2""")
+def poly_extrapolate(spark, sf_dir):
+    v = versions(spark, sf_dir).withColumn("x", (F.col("time") - 1_704_067_200_000_000) / float(DAY))
+    fits = series.polynomial_fit(v, "x", "value", 1).where("n > 2")
+    return series.extrapolate(fits, fits.select("id", "rmse").withColumn("x", F.lit(40.0)).select("id", "x"), "x").join(fits.select("id", "rmse"), "id").select("id", rounded("fitted", 3).alias("fitted"), rounded("rmse", 3).alias("rmse"))
+
+
+@query(f"WITH {VER}, p AS (SELECT id, k AS lag, value AS x, lag(value, CAST(k AS INTEGER)) OVER (PARTITION BY id, k ORDER BY time) AS y FROM ver, generate_series(0, 2) t(k)) SELECT id, CAST(lag AS INTEGER) AS lag, count(*) AS n FROM p WHERE y IS NOT NULL GROUP BY ALL")
+def series_lags(spark, sf_dir):
+    return series.autocorrelation_function(versions(spark, sf_dir), "value", 3).select("id", "lag", "n")
+
+
 @query()
 def poly_compress(spark, sf_dir):
     return series.compress(versions(spark, sf_dir), "value", precision=5.0, max_degree=6)
