@@ -24,15 +24,14 @@ def clean(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
 
 
 def blocks(df: DataFrame, rows: int = ROWS, keys: tuple[str, ...] = ()) -> DataFrame:
-    """Rows (d, *keys, block, ids, vectors) of about ``rows`` vectors each, dealt by a hash of the row.
+    """Rows (d, *keys, block, ids, vectors) of about ``rows`` vectors each, dealt by a hash of id and vector.
 
-    ``keys`` are further long columns to keep apart, with few distinct values. Equal rows are dealt
-    apart by a random number that is not kept, so thousands of copies of one row are no large block.
+    ``keys`` are further long columns to keep apart, with few distinct values.
     """
     per = df.withColumn("d", F.size("v").cast("long"))
     sizes = per.groupBy("d", *keys).agg(F.greatest(F.lit(1), F.ceil(F.count("*") / rows)).alias("nb"))
     # One row for each length and key, so this side stays small whatever the number of vectors.
-    dealt = per.join(sizes, ["d", *keys]).withColumn("block", F.pmod(F.xxhash64("id", "v", F.monotonically_increasing_id()), F.col("nb")).cast("long"))
+    dealt = per.join(sizes, ["d", *keys]).withColumn("block", F.pmod(F.xxhash64("id", "v"), F.col("nb")).cast("long"))
 
     def pack(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, data = [], []
