@@ -64,7 +64,7 @@ def test_training_on_spark(spark, optimise):
     rows = [(float(a), float(b), float(a != b)) for a in (0, 1) for b in (0, 1) for _ in range(5)]
     df = spark.createDataFrame(rows, "a double, b double, y double").repartition(3)
     net = Network.of([2, 8, 1], ["tanh", "linear"], seed=5)
-    losses = neural.learn(df, ["a", "b"], ["y"], net, rounds=6, rate=0.05, optimise=optimise)
+    losses = neural.learn(df, ["a", "b"], ["y"], net, rounds=6, rate=0.002 if optimise == "rmsprop" else 0.05, optimise=optimise)
     assert losses[-1] < losses[0]
     assert neural.judge(df, ["a", "b"], ["y"], net, "squares", "mean") < losses[0]
     assert neural.predict(df, ["a", "b"], net).where("size(prediction) = 1").count() == len(rows)
