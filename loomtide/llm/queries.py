@@ -112,4 +112,49 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
 FROM e GROUP BY conv_id
 """
 
-ORACLES = {"op1_top_products": _TOP_PRODUCTS, "op3_license_scan": licenses.oracle(), "op10_chat": _CHAT}
+_NEAR = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, list_filter(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents
+), w AS (SELECT doc_id, unnest(w) AS t, generate_subscripts(w, 1) AS i, len(w) AS n FROM d),
+f AS (
+  SELECT doc_id, i, n, t || coalesce(' ' || lead(t, 1) OVER o, '') || coalesce(' ' || lead(t, 2) OVER o, '') || coalesce(' ' || lead(t, 3) OVER o, '') AS x
+  FROM w WINDOW o AS (PARTITION BY doc_id ORDER BY i)
+), s AS MATERIALIZED (
+  SELECT d.doc_id, coalesce(f.g, []) AS g FROM d LEFT JOIN (SELECT doc_id, list_sort(list(DISTINCT x)) AS g FROM f WHERE i = 1 OR i <= n - 3 GROUP BY doc_id) f USING (doc_id)
+), c AS MATERIALIZED (SELECT min(doc_id) AS rep, g, len(g) AS n FROM s WHERE len(g) > 0 GROUP BY g),
+e AS MATERIALIZED (SELECT rep, n, unnest(g) AS x FROM c),
+l AS MATERIALIZED (
+  SELECT a.rep AS a, b.rep AS b FROM e a JOIN e b ON a.x = b.x AND a.rep < b.rep AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)
+  GROUP BY a.rep, b.rep, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))
+), y AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT rep AS a, rep AS b FROM c UNION SELECT r.a, y.b FROM r JOIN y ON r.b = y.a),
+k AS (SELECT a AS rep, min(b) AS component_id FROM r GROUP BY a)
+SELECT s.doc_id, CAST(len(s.g) AS BIGINT) AS n_shingles, coalesce(k.component_id, s.doc_id) AS component_id, coalesce(k.component_id, s.doc_id) = s.doc_id AS kept
+FROM s LEFT JOIN c ON s.g = c.g LEFT JOIN k ON c.rep = k.rep
+"""
+
+# Windows are cut from hexadecimal pieces of 500 bytes with the 49 that follow.
+_REPEATS = r"""
+WITH h AS MATERIALIZED (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+p AS (SELECT doc_id, regexp_extract_all(x, '.{1,1000}') AS parts FROM h),
+q AS (SELECT doc_id, unnest(range(1, len(parts) + 1)) AS i, parts FROM p),
+b AS (SELECT doc_id, 500 * (i - 1) AS base, parts[i] || coalesce(parts[i + 1], '')[1:98] AS x, len(parts[i]) // 2 AS n FROM q),
+w AS (SELECT doc_id, base + o AS pos, substring(x, 2 * o + 1, 100) AS g FROM (SELECT doc_id, base, x, unnest(range(0, least(n, len(x) // 2 - 49))) AS o FROM b)),
+m AS MATERIALIZED (SELECT doc_id, pos FROM (SELECT doc_id, pos, min(doc_id) OVER (PARTITION BY g) AS least_id FROM w) WHERE doc_id > least_id),
+t AS (SELECT doc_id, pos, CASE WHEN pos > lag(pos) OVER (PARTITION BY doc_id ORDER BY pos) + 50 THEN 1 ELSE 0 END AS new FROM m),
+u AS (SELECT doc_id, pos, sum(new) OVER (PARTITION BY doc_id ORDER BY pos) AS run FROM t),
+r AS (SELECT doc_id, min(pos) AS lo, max(pos) + 50 AS hi FROM u GROUP BY doc_id, run),
+k AS (SELECT doc_id, lo, hi, coalesce(lag(hi) OVER (PARTITION BY doc_id ORDER BY lo), 0) AS since FROM r),
+j AS (SELECT h.doc_id, count(*) AS n, sum(k.hi - k.lo) AS cut, max(k.hi) AS tail, string_agg(substring(h.x, 2 * k.since + 1, 2 * (k.lo - k.since)), '' ORDER BY k.lo) AS kept FROM k JOIN h USING (doc_id) GROUP BY h.doc_id)
+SELECT h.doc_id, CAST(len(h.x) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(j.cut, 0) AS BIGINT) AS n_removed, CAST(coalesce(j.n, 0) AS BIGINT) AS n_spans,
+  sha256(unhex(coalesce(j.kept, '') || substring(h.x, 2 * coalesce(j.tail, 0) + 1))) AS kept_sha256
+FROM h LEFT JOIN j USING (doc_id)
+"""
+
+ORACLES = {
+    "op1_top_products": _TOP_PRODUCTS,
+    "op3_license_scan": licenses.oracle(),
+    "op7_near_duplicates": _NEAR,
+    "op8_suffix_dedup": _REPEATS,
+    "op10_chat": _CHAT,
+}

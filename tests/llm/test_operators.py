@@ -1,5 +1,6 @@
 import hashlib
 import re
+import zlib
 
 import numpy as np
 import pytest
@@ -416,6 +417,57 @@ def test_chat_trees_and_reading_back(spark):
     assert chat.conversations(nodes.limit(0)).collect() == []
 
 
+@pytest.fixture(scope="module")
+def tables(spark, tmp_path_factory):
+    """Tables of the contract queries: the odd texts, copies with changed words, and labels for most."""
+    at = str(tmp_path_factory.mktemp("tables"))
+    more = [say(50) + (" zorg" if i % 3 == 0 else "") for i in range(120)]
+    texts = [*TEXTS, *more, *(" ".join(["new", *t.split()[2:]]) for t in more[:30]), more[0].upper(), "pre " + more[1]]
+    rows = [(i, t, "en", "s%d" % (i % 3) if i % 5 else None, len(t or "")) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars int").write.parquet(at + "/documents.parquet")
+    spark.createDataFrame([(i, int("new" not in (t or "")), int("zorg" in (t or ""))) for i, t, *_ in rows if i % 7], "doc_id long, quality int, toxic int").write.parquet(at + "/labels.parquet")
+    return at, rows
+
+
+@pytest.mark.parametrize("name", ["op7_near_duplicates", "op8_suffix_dedup"])
+def test_queries_against_their_sql(spark, tables, name):
+    duckdb = pytest.importorskip("duckdb")
+    from loomtide.llm import queries
+
+    at, _ = tables
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW documents AS SELECT * FROM '{at}/documents.parquet/*.parquet'")
+    made = db.execute(queries.ORACLES[name])
+    columns = [c[0] for c in made.description]
+    want = sorted(made.fetchall())
+    assert sorted(tuple(r) for r in queries.QUERIES[name](spark, at).select(*columns).collect()) == want
+    assert sum(r[2] > 0 if name == "op8_suffix_dedup" else not r[3] for r in want) > 5
+
+
+def test_mix_and_score_queries_keep_their_contracts(spark, tables):
+    from loomtide.llm import queries
+
+    at, rows = tables
+    sizes = {i: len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for i, t, *_ in rows}
+    by = {}
+    for i, _, _, source, _ in rows:
+        by[source] = by.get(source, 0) + sizes[i]
+    want, source, taken = brute_targets(by), {r[0]: r[3] for r in rows}, dict.fromkeys(by, 0)
+    mixed = queries.op4_mix_sources(spark, at).collect()
+    assert sorted(r["doc_id"] for r in mixed) == sorted(sizes)
+    for r in mixed:
+        s = source[r["doc_id"]]
+        assert (r["size"], r["source_size"]) == (sizes[r["doc_id"]], by[s]) and abs(r["target"] - want[s]) < 1e-6 and 0 <= r["taken"] <= 3 * r["size"]
+        taken[s] += r["taken"]
+    assert all(abs(taken[s] - want[s]) <= max(sizes[i] for i in sizes if source[i] == s) for s in by)
+    for query, parts, rest, least in ((queries.op5_toxicity, 5, 0, 0.5), (queries.op9_quality, 4, 2, 0.7)):
+        scored = query(spark, at).collect()
+        assert sorted(r["doc_id"] for r in scored) == sorted(sizes)
+        for r in scored:
+            assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % parts == rest)
+            assert 0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= least)
+
+
 def test_stages_keep_rows_of_null_and_repeated_ids(spark):
     import corpus_pipeline as cp
 
