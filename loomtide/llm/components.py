@@ -7,25 +7,26 @@ from pyspark.sql import DataFrame, functions as F
 from .storage import cut
 
 
-def _fingerprint(edges: DataFrame) -> tuple:
-    row = edges.agg(F.count("*").alias("n"), F.sum((F.xxhash64("u", "v") / 1024).cast("decimal(38,0)")).alias("s")).first()
-    return row["n"], row["s"]
+def _starred(edges: DataFrame) -> bool:
+    """Whether every node with an edge to a smaller one has no other edge: then the smaller ones are the roots."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(edges.select("v", F.lit(0), F.lit(1)))
+    counts = ends.groupBy("node").agg(F.sum("up").alias("ups"), F.sum("down").alias("downs"))
+    return counts.where("ups > 1 or (ups = 1 and downs > 0)").agg(F.count("*")).first()[0] == 0
 
 
-def connected_components(edges: DataFrame, left: str, right: str, max_rounds: int = 40) -> DataFrame:
+def connected_components(edges: DataFrame, left: str, right: str) -> DataFrame:
     """(node, component) for every node of ``edges``; component is its smallest node.
 
     Self loops and repeated or reversed edges change nothing, null ends are
     ignored, an empty table gives an empty result. Per round the stars cost two
     aggregations with map-side minima and two joins, and a hub's edges are never
-    gathered; the number of rounds is logarithmic in the longest chain.
+    gathered; the number of rounds is logarithmic in the longest chain. Rounds end when
+    only stars about smallest nodes are left, which one aggregation finds.
     """
     both = edges.select(F.col(left).alias("a"), F.col(right).alias("b")).where("a is not null and b is not null")
-    now = cut(both.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    seen = _fingerprint(now)
-    for _ in range(max_rounds):
-        sym = now.where("u <> v")
-        sym = sym.union(sym.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    now = cut(both.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
+    while not _starred(now):
+        sym = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = sym.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = sym.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         small = large.where("u <> v")
@@ -33,11 +34,6 @@ def connected_components(edges: DataFrame, left: str, right: str, max_rounds: in
         stars = small.join(low, "u")
         out = stars.select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v")).union(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         now = cut(out, "edges")
-        before, seen = seen, _fingerprint(now)
-        if before == seen:
-            break
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     nodes = both.select(F.col("a").alias("node")).union(both.select("b")).distinct()
     roots = now.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root"))
     return nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("component"))

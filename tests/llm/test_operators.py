@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 pytest.importorskip("loomtide.llm")
 
-from loomtide.llm import bpe, chat, licenses, mixing, onebit, quality, setsketch, suffixes, topk, toxicity  # noqa: E402
+from loomtide.llm import bpe, chat, components, licenses, mixing, onebit, quality, setsketch, suffixes, topk, toxicity  # noqa: E402
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, regs string, h long"
 rng = np.random.default_rng(3)
@@ -79,6 +79,15 @@ def test_a_family_about_the_threshold_in_small_blocks(spark, monkeypatch):
     assert [got[i] for i in range(len(root))] == root
 
 
+def test_components_of_chains_hubs_and_loops(spark):
+    order = [int(x) for x in rng.permutation(100)]
+    pairs = [*zip(order, order[1:], strict=False), *((200, x) for x in range(201, 260)), *((x, 199) for x in range(230, 240)), (300, 300), (400, None), (None, None), (501, 500), (500, 501), (501, 500)]
+    got = {r["node"]: r["component"] for r in components.connected_components(spark.createDataFrame(pairs, "a long, b long"), "a", "b").collect()}
+    want = {x: 0 for x in order} | {x: 199 for x in range(199, 260)} | {300: 300, 500: 500, 501: 500}
+    assert got == want
+    assert components.connected_components(spark.createDataFrame([], "a long, b long"), "a", "b").collect() == []
+
+
 def test_sketches_merge_and_estimate():
     a, b = (np.arange(x, x + 2000).astype(np.uint64) for x in (1, 401))
     mixed = setsketch.B.mix(np.union1d(a, b))
