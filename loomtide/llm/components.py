@@ -14,8 +14,8 @@ def _starred(edges: DataFrame) -> bool:
     return counts.where("ups > 1 or (ups = 1 and downs > 0)").agg(F.count("*")).first()[0] == 0
 
 
-def connected_components(edges: DataFrame, left: str, right: str) -> DataFrame:
-    """(node, component) for every node of ``edges``; component is its smallest node.
+def stars(edges: DataFrame, left: str, right: str) -> DataFrame:
+    """(node, root) for every node of ``edges`` that is not the smallest of its component, which is its root.
 
     Self loops and repeated or reversed edges change nothing, null ends are
     ignored, an empty table gives an empty result. Per round the stars cost two
@@ -31,9 +31,13 @@ def connected_components(edges: DataFrame, left: str, right: str) -> DataFrame:
         large = sym.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         small = large.where("u <> v")
         low = small.groupBy("u").agg(F.min("v").alias("m"))
-        stars = small.join(low, "u")
-        out = stars.select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v")).union(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
+        out = small.join(low, "u").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v")).union(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         now = cut(out, "edges")
-    nodes = both.select(F.col("a").alias("node")).union(both.select("b")).distinct()
-    roots = now.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root"))
-    return nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("component"))
+    return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
+
+
+def connected_components(edges: DataFrame, left: str, right: str) -> DataFrame:
+    """(node, component) for every node of ``edges``; component is its smallest node. Edges are read as in ``stars``."""
+    both = edges.where(F.col(left).isNotNull() & F.col(right).isNotNull())
+    nodes = both.select(F.col(left).alias("node")).union(both.select(right)).distinct()
+    return nodes.join(stars(edges, left, right), "node", "left").select("node", F.coalesce("root", "node").alias("component"))

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import buffers as B
-from .components import connected_components
+from .components import stars
 from .storage import cut, small_batches
 
 #: Four registers of 16 bits are one 64-bit word.
@@ -136,6 +136,10 @@ def _sets(batches, width: int):
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), B.signed(values))], ["rep", "shingles"])
 
 
+#: Two representatives and the components that they are in so far.
+_PAIR = ["a", "b", "comp_a", "comp_b"]
+
+
 def _likely(batches, percent: int):
     for batch in batches:
         col = lambda name: batch.column(batch.schema.get_field_index(name))
@@ -143,17 +147,17 @@ def _likely(batches, percent: int):
             continue
         x, y = (np.frombuffer(B.text_bytes(col(c))[0].tobytes(), np.uint16).reshape(-1, REGISTERS) for c in ("regs_a", "regs_b"))
         ok = may_reach((x > y).sum(1), (x < y).sum(1), (x == y).sum(1), col("n_a").to_numpy(), col("n_b").to_numpy(), percent)
-        yield pa.RecordBatch.from_arrays([col(c).filter(pa.array(ok)) for c in ("a", "b", "n_a", "n_b")], ["a", "b", "n_a", "n_b"])
+        yield pa.RecordBatch.from_arrays([col(c).filter(pa.array(ok)) for c in _PAIR], _PAIR)
 
 
 def _block_links(key, table: pa.Table, percent: int) -> pa.Table:
-    """Confirmed links that join components between the two sides of one block pair.
+    """Confirmed links, as pairs of components, that join components between the two sides of one block pair.
 
     A pair whose registers agree in an earlier band is left to that band's bucket.
     """
     band, same = key[1].as_py(), key[2].as_py() == key[3].as_py()
-    reps, comp, side = (table[c].to_numpy() for c in ("rep", "comp", "side"))
-    comp = comp.copy()
+    given, side = table["comp"].to_numpy(), table["side"].to_numpy()
+    comp = given.copy()
     regs = np.frombuffer(b"".join(table["regs"].to_pylist()), np.uint16).reshape(-1, REGISTERS)
     earlier = regs.view(np.uint64)[:, :band]
     lists = table["shingles"].combine_chunks()
@@ -176,11 +180,11 @@ def _block_links(key, table: pa.Table, percent: int) -> pa.Table:
         own[mine] = False
         linked = held[100 * common >= percent * (size[i] + size[held] - common)]
         joined, first = np.unique(comp[linked], return_index=True)
-        links += [(reps[i], reps[j]) for j in linked[first]]
+        links += [(given[i], given[j]) for j in linked[first]]
         if len(joined):
             comp[np.isin(comp, joined)] = comp[i]
     a, b = np.array(links, np.int64).reshape(-1, 2).T
-    return pa.table([pa.array(a), pa.array(b)], ["a", "b"])
+    return pa.table([pa.array(a), pa.array(b)], ["comp_a", "comp_b"])
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
@@ -223,39 +227,42 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         b = sets.select(F.col("rep").alias("b"), F.col("shingles").alias("sb"))
         both = pairs.join(b, "b").join(a, "a").withColumn("common", F.size(F.array_intersect("sa", "sb")))
         union = F.size("sa") + F.size("sb") - F.col("common")
-        return cut(both.where(100 * F.col("common") >= percent * union).select("a", "b"), "links")
+        return cut(both.where(100 * F.col("common") >= percent * union).select("comp_a", "comp_b"), "links")
 
     def likely(pairs: DataFrame) -> DataFrame:
         rows = pairs.where("a <> b").distinct().join(side("b"), "b").join(side("a"), "a")
-        return rows.mapInArrow(partial(_likely, percent=percent), "a long, b long, n_a long, n_b long")
+        return rows.mapInArrow(partial(_likely, percent=percent), ", ".join(f"{c} long" for c in _PAIR))
 
-    links = confirmed(likely(members.select(F.col("hub").alias("a"), F.col("rep").alias("b"))))
-    comps = cut(connected_components(links, "a", "b"), "components")
+    def relabelled(rows: DataFrame, column: str, roots: DataFrame) -> DataFrame:
+        return rows.join(roots.withColumnRenamed("node", column), column, "left").withColumn(column, F.coalesce("root", column)).drop("root")
 
-    def open_buckets() -> DataFrame:
-        placed = members.where("members > 2").join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("key", "band", "rep", "members", "total", F.coalesce("component", "rep").alias("comp"))
+    def still_open(placed: DataFrame) -> DataFrame:
         state = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
         return cut(placed.join(state, "key"), "open")
 
-    todo = open_buckets()
+    # Each pass links the components of the one before, and its roots are looked up in turn.
+    first = members.select(F.col("hub").alias("a"), F.col("rep").alias("b"), F.col("hub").alias("comp_a"), F.col("rep").alias("comp_b"))
+    passes = [stars(confirmed(likely(first)), "comp_a", "comp_b")]
+    todo = still_open(relabelled(members.where("members > 2").withColumn("comp", F.col("rep")), "comp", passes[-1]))
     if not todo.isEmpty():
         second = todo.where("comp = hi").groupBy("key").agg(F.min("rep").alias("a"))
-        links = links.union(confirmed(likely(todo.join(second, "key").where("comp <> hi").select("a", F.col("rep").alias("b")))))
-        comps = cut(connected_components(links, "a", "b"), "components")
-        todo = open_buckets()
+        pairs = todo.join(second, "key").where("comp <> hi").select("a", F.col("rep").alias("b"), F.col("hi").alias("comp_a"), F.col("comp").alias("comp_b"))
+        passes.append(stars(confirmed(likely(pairs)), "comp_a", "comp_b"))
+        todo = still_open(relabelled(todo.drop("lo", "hi"), "comp", passes[-1]))
     if not todo.isEmpty():
         blocks = F.ceil(F.greatest(F.col("members") / BLOCK, F.col("total") / BLOCK_SHINGLES)).cast("int")
         dealt = todo.join(sketch.select("rep", "regs"), "rep").join(sets, "rep").withColumn("nb", blocks).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("nb")).cast("int"))
         dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-        dealt = dealt.select("key", "band", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side"), "rep", "comp", "regs", "shingles")
+        dealt = dealt.select("key", "band", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side"), "comp", "regs", "shingles")
 
         def within(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
             return _block_links(key, table, percent)
 
-        links = links.union(cut(dealt.groupBy("key", "band", "p", "q").applyInArrow(within, "a long, b long"), "links"))
-        comps = cut(connected_components(links, "a", "b"), "components")
+        passes.append(stars(cut(dealt.groupBy("key", "band", "p", "q").applyInArrow(within, "comp_a long, comp_b long"), "links"), "comp_a", "comp_b"))
 
-    label = reps.select("digest", "rep").join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
+    label = reps.select("digest", F.col("rep").alias("component_id"))
+    for roots in passes:
+        label = relabelled(label, "component_id", roots)
     out = base.select("doc_id", "n_shingles", "digest").join(label, "digest", "left")
     out = out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
