@@ -236,17 +236,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def relabelled(rows: DataFrame, column: str, roots: DataFrame) -> DataFrame:
         return rows.join(roots.withColumnRenamed("node", column), column, "left").withColumn(column, F.coalesce("root", column)).drop("root")
 
+    def with_state(rows: DataFrame, state: DataFrame) -> DataFrame:
+        """``rows`` with the one row of their bucket, met in parts of about BLOCK members, so that no task gets a whole large bucket."""
+        parts = F.ceil(F.col("members") / BLOCK)
+        state = state.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).drop("members")
+        return rows.withColumn("part", F.pmod(F.xxhash64("rep"), parts)).join(state, ["key", "part"]).drop("part")
+
     def still_open(placed: DataFrame) -> DataFrame:
-        state = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
-        return cut(placed.join(state, "key"), "open")
+        state = placed.groupBy("key").agg(F.max("members").alias("members"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
+        return cut(with_state(placed, state), "open")
 
     # Each pass links the components of the one before, and its roots are looked up in turn.
     first = members.select(F.col("hub").alias("a"), F.col("rep").alias("b"), F.col("hub").alias("comp_a"), F.col("rep").alias("comp_b"))
     passes = [stars(confirmed(likely(first)), "comp_a", "comp_b")]
     todo = still_open(relabelled(members.where("members > 2").withColumn("comp", F.col("rep")), "comp", passes[-1]))
     if not todo.isEmpty():
-        second = todo.where("comp = hi").groupBy("key").agg(F.min("rep").alias("a"))
-        pairs = todo.join(second, "key").where("comp <> hi").select("a", F.col("rep").alias("b"), F.col("hi").alias("comp_a"), F.col("comp").alias("comp_b"))
+        second = todo.where("comp = hi").groupBy("key").agg(F.max("members").alias("members"), F.min("rep").alias("a"))
+        pairs = with_state(todo, second).where("comp <> hi").select("a", F.col("rep").alias("b"), F.col("hi").alias("comp_a"), F.col("comp").alias("comp_b"))
         passes.append(stars(confirmed(likely(pairs)), "comp_a", "comp_b"))
         todo = still_open(relabelled(todo.drop("lo", "hi"), "comp", passes[-1]))
     if not todo.isEmpty():
