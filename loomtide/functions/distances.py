@@ -1,7 +1,8 @@
-"""Distances between arrays of doubles as Column expressions."""
+"""Distances between arrays of doubles as Column expressions, and of whole blocks of vectors as numpy arrays."""
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, functions as F
 
 EARTH_RADIUS = 6_371_000.0
@@ -44,3 +45,55 @@ def pearson(x: Column, y: Column) -> Column:
 def gaussian(x: Column, y: Column, error: Column) -> Column:
     """The largest difference of a dimension in units of its allowed error."""
     return F.sqrt(F.array_max(F.zip_with(F.zip_with(x, y, lambda a, b: (a - b) * (a - b)), error, lambda d, e: d / e)))
+
+
+# The same for blocks: ``x`` holds a vector a column, ``y`` too, and row j of the result holds y's vector j against all of x.
+# Sums run over the dimensions in order, one by one, so every distance has the bits of its expression.
+
+
+def _dots(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    out = np.zeros((y.shape[1], x.shape[1]))
+    term = np.empty_like(out)
+    for a, b in zip(x, y, strict=True):
+        np.multiply(b[:, None], a, out=term)
+        out += term
+    return out
+
+
+def _sums(x: np.ndarray) -> np.ndarray:
+    out = np.zeros(x.shape[1])
+    for a in x:
+        out += a
+    return out
+
+
+def euclidean_block(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    out = np.zeros((y.shape[1], x.shape[1]))
+    term = np.empty_like(out)
+    for a, b in zip(x, y, strict=True):
+        np.subtract(a, b[:, None], out=term)
+        np.multiply(term, term, out=term)
+        out += term
+    return np.sqrt(out, out=out)
+
+
+def _quotient(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.where(b == 0, 0.0, a / b)
+
+
+def cosine_block(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    n = np.sqrt(_sums(x * x) * _sums(y * y)[:, None])
+    return 1 - np.maximum(0.0, _quotient(_dots(x, y), n))
+
+
+def pearson_block(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    n, sx, sy = len(x), _sums(x), _sums(y)[:, None]
+    cov = _dots(x, y) - sx * sy / n
+    spread = np.sqrt((_sums(x * x) - sx * sx / n) * (_sums(y * y)[:, None] - sy * sy / n))
+    return _quotient(cov, spread)
+
+
+#: Block forms of expressions.
+BLOCKWISE = {euclidean: euclidean_block, cosine: cosine_block, pearson: pearson_block}
+#: The distance where a vector holds a null component, if that is not null.
+WITH_NULLS = {cosine_block: 1.0, pearson_block: 0.0}

@@ -2,14 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from decimal import ROUND_HALF_UP, Context, Decimal
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import distances
 
-#: Blocks of points and of queries that are held against each other.
+#: Blocks of points and of queries that are held against each other, where a distance is an expression alone.
 BLOCKS = 16
+#: Numbers in a packed block of points and of queries.
+POINT_VALUES, QUERY_VALUES = 1 << 19, 1 << 16
+#: Points and queries whose distances are computed together.
+COLUMNS, ROWS = 2048, 16
 
 
 def keep_last(points: DataFrame, order: str = "seq") -> DataFrame:
@@ -18,22 +26,153 @@ def keep_last(points: DataFrame, order: str = "seq") -> DataFrame:
     return points.groupBy("key").agg(F.max_by(F.struct(*rest), order).alias("s")).select("key", *(F.col(f"s.{c}").alias(c) for c in rest))
 
 
+def _packed(rows: DataFrame, sizes: DataFrame, keys: list[str], own: str, other: str, values: int, name: str) -> DataFrame:
+    """Rows (*keys, own, other, ids, vectors, holes) of about ``values`` numbers each, of the groups in ``sizes``.
+
+    ``rows`` has the keys, the vector length ``_d`` among them, ``id`` and ``v``. ``own`` numbers the side's blocks, which ``sizes``
+    counts; ``other`` is the count of the other side's. Ids are in order; holes mark vectors with null components.
+    """
+    dealt = rows.join(sizes, keys).withColumn(own, F.pmod(F.xxhash64("id", "v"), F.col(own)).cast("int"))
+    group = [*keys, own, other]
+
+    def block(key: tuple[pa.Scalar, ...], ids: list[pa.Array], vectors: list[pa.ListArray]) -> pa.RecordBatch:
+        d = key[keys.index("_d")].as_py()
+        held, lists = pa.chunked_array(ids).combine_chunks(), pa.chunked_array(vectors).combine_chunks()
+        order = pc.sort_indices(held, null_placement="at_start")
+        flat = lists.flatten()
+        hole = flat.is_null().to_numpy(zero_copy_only=False).reshape(len(held), d).any(axis=1)
+        data = flat.to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(held), d)[order.to_numpy()]
+        taken = held.take(order)
+        offsets = pa.array([0, len(taken)], pa.int32())
+        cols = [pa.array([k.as_py()], k.type) for k in key]
+        cols += [pa.ListArray.from_arrays(offsets, taken), pa.array([data.T.tobytes()], pa.binary()), pa.array([hole[order.to_numpy()].tobytes()], pa.binary())]
+        return pa.RecordBatch.from_arrays(cols, [*group, f"{name}_ids", f"{name}_vectors", f"{name}_holes"])
+
+    def pack(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        most = 2 * max(1, values // max(1, key[keys.index("_d")].as_py()))
+        ids, vectors, n = [], [], 0
+        for b in batches:
+            for at in range(0, b.num_rows, most):
+                part = b.slice(at, most)
+                if n and n + part.num_rows > most:
+                    yield block(key, ids, vectors)
+                    ids, vectors, n = [], [], 0
+                ids.append(part.column(part.schema.get_field_index("id")))
+                vectors.append(part.column(part.schema.get_field_index("v")))
+                n += part.num_rows
+        if n:
+            yield block(key, ids, vectors)
+
+    kinds = dict(dealt.dtypes)
+    ddl = ", ".join(f"{c} {kinds[c]}" for c in group)
+    return dealt.select(*group, "id", "v").groupBy(*group).applyInArrow(pack, f"{ddl}, {name}_ids array<{kinds['id']}>, {name}_vectors binary, {name}_holes binary")
+
+
+def _half_up(x: np.ndarray, digits: int) -> np.ndarray:
+    """``x`` rounded as F.round does it: half up on the shortest decimals of each number."""
+    size = np.abs(x)
+    scaled = size * 10.0**digits
+    whole = np.floor(scaled)
+    part = scaled - whole
+    out = np.copysign((whole + (part >= 0.5)) / 10.0**digits, x) + 0.0
+    # Products close to a half, or too large to be exact, are decided on the decimals.
+    for i in np.flatnonzero(np.isfinite(x) & ((np.abs(part - 0.5) < 1e-9 + 1e-15 * scaled) | (scaled >= 1e12))):
+        value = Decimal(repr(float(x[i])))
+        out[i] = float(value.quantize(Decimal(1).scaleb(-digits), ROUND_HALF_UP, Context(prec=400))) + 0.0
+    return np.where(np.isfinite(x), out, x)
+
+
+def _measured(batches: Iterator[pa.RecordBatch], measure: Callable[[np.ndarray, np.ndarray], np.ndarray], k: int, radius: float, digits: int | None) -> Iterator[pa.RecordBatch]:
+    """(query_id, point_id, distance) of each pair of blocks: of each query the k first, or all, below the radius; then rounded."""
+    names = ["query_id", "point_id", "distance"]
+    for batch in batches:
+        col = lambda name: batch.column(batch.schema.get_field_index(name))
+        for i in range(batch.num_rows):
+            d = col("_d")[i].as_py()
+            pid, qid = (col(f"{c}_ids")[i].values for c in "pq")
+            x, y = (np.frombuffer(col(f"{c}_vectors")[i].as_buffer(), np.float64).reshape(d, -1 if d else len(ids)) for c, ids in (("p", pid), ("q", qid)))
+            hole, q_hole = (np.frombuffer(col(f"{c}_holes")[i].as_buffer(), bool) for c in "pq")
+            for lo in range(0, len(qid), ROWS):
+                some = np.ascontiguousarray(y[:, lo : lo + ROWS])
+                with np.errstate(all="ignore"):
+                    dist = np.concatenate([measure(x[:, a : a + COLUMNS], some) for a in range(0, len(pid), COLUMNS)], axis=1)
+                empty = hole | q_hole[lo : lo + ROWS, None]
+                if measure in distances.WITH_NULLS:
+                    dist[empty] = distances.WITH_NULLS[measure]
+                    empty[:] = False
+                out = ([], [], [])
+                for j in range(len(dist)):
+                    at = np.flatnonzero((dist[j] < radius) & ~empty[j]) if radius > 0 else None
+                    if k > 0:
+                        # Nulls come first and NaN last, as in an ORDER BY; equal distances stay in the order of ids.
+                        by = np.where(empty[j], -np.inf, dist[j])
+                        at = np.arange(len(by)) if at is None else at
+                        if len(at) > k:
+                            last = np.partition(by[at], k - 1)[k - 1]
+                            at = at if np.isnan(last) else at[by[at] <= last]
+                        at = at[np.argsort(by[at], kind="stable")[:k]]
+                    n = len(pid) if at is None else len(at)
+                    if not n:
+                        continue
+                    out[0].append(pa.repeat(qid[lo + j], n))
+                    out[1].append(pid if at is None else pid.take(pa.array(at)))
+                    value, null = (dist[j], empty[j]) if at is None else (dist[j][at], empty[j][at])
+                    if digits is not None:
+                        with np.errstate(all="ignore"):
+                            value = _half_up(value, digits)
+                    out[2].append(pa.array(value, mask=null) if null.any() else pa.array(value))
+                if out[0]:
+                    yield pa.RecordBatch.from_arrays([pa.concat_arrays(c) for c in out], names)
+
+
+def _by_blocks(points: DataFrame, queries: DataFrame, keys: list[str], measure: Callable[[np.ndarray, np.ndarray], np.ndarray], k: int = -1, radius: float = -1.0, digits: int | None = None) -> DataFrame:
+    """(query_id, point_id, distance) of points (*keys, id, v) and queries (*keys, id, v) of equal keys and lengths.
+
+    Both sides are packed into blocks of a bounded size; each pair of blocks is one row of an equi-join, measured by numpy.
+    """
+    p, q = (df.withColumn("_d", F.size("v")).where("v is not null") for df in (points, queries))
+    keys = [*keys, "_d"]
+    counted = lambda df, name, values: df.groupBy(*keys).agg(F.greatest(F.lit(1), F.ceil(F.count("*") * F.greatest("_d", F.lit(1)) / values)).cast("int").alias(name))
+    sizes = counted(p, "_b", POINT_VALUES).join(counted(q, "_c", QUERY_VALUES), keys)
+    # Each block is dealt once for every block of the other side.
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = _packed(p, sizes, keys, "_b", "_c", POINT_VALUES, "p").withColumn("_c", every("_c"))
+    right = _packed(q, sizes, keys, "_c", "_b", QUERY_VALUES, "q").withColumn("_b", every("_b"))
+    pairs = left.join(right, [*keys, "_b", "_c"])
+    ddl = f"query_id {dict(queries.dtypes)['id']}, point_id {dict(points.dtypes)['id']}, distance double"
+    return pairs.mapInArrow(lambda batches: _measured(batches, measure, k, radius, digits), ddl)
+
+
+def _vectors(points: DataFrame, queries: DataFrame) -> tuple[DataFrame, DataFrame]:
+    return points.select("id", F.col("key").cast("array<double>").alias("v")), queries.select(F.col("query_id").alias("id"), F.col("q").cast("array<double>").alias("v"))
+
+
+def all_distances(points: DataFrame, queries: DataFrame, distance: Callable[[Column, Column], Column], digits: int) -> DataFrame:
+    """Every query's distance to every point of its length, rounded: query_id, point_id, distance. Its rows are as many as the pairs."""
+    if distance in distances.BLOCKWISE:
+        return _by_blocks(*_vectors(points, queries), [], distances.BLOCKWISE[distance], digits=digits)
+    return around(points, queries, distance=distance).select("query_id", "point_id", F.round("distance", digits).alias("distance"))
+
+
 def around(points: DataFrame, queries: DataFrame, k: int = -1, radius: float = -1.0, distance: Callable[[Column, Column], Column] = distances.euclidean) -> DataFrame:
     """Each query's points by distance: query_id, rank, point_id, distance.
 
     At most k of them (k <= 0: all) with distance below the radius (radius <= 0: all).
-    ``queries`` (query_id, q) is a stated set held against all points, in ``BLOCKS`` blocks of points and queries by hash:
-    each pair of blocks is one group of an equi-join, whatever the number of queries; a small set is broadcast by Spark's own
-    estimate. Ties go to the smaller point_id.
+    ``queries`` (query_id, q) is a stated set held against all points. Distances that have a block form
+    are measured on pairs of packed blocks, which keep k points of each query; others on single pairs, in ``BLOCKS`` blocks
+    of points and queries by hash, each pair of blocks one group of an equi-join. Ties go to the smaller point_id.
     """
-    every = F.explode(F.array(*(F.lit(i) for i in range(BLOCKS))))
-    p = points.select(F.col("id").alias("point_id"), "key", F.size("key").alias("_d"), F.pmod(F.xxhash64("id"), F.lit(BLOCKS)).cast("int").alias("_b"))
-    q = queries.select("query_id", "q", F.size("q").alias("_d"), F.pmod(F.xxhash64("query_id"), F.lit(BLOCKS)).cast("int").alias("_c"))
-    pairs = p.withColumn("_c", every).join(q.withColumn("_b", every), ["_d", "_b", "_c"])
-    found = pairs.select("query_id", "point_id", distance(F.col("key"), F.col("q")).alias("distance"))
-    if radius > 0:
-        found = found.where(F.col("distance") < radius)
-    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "point_id")))
+    if distance in distances.BLOCKWISE:
+        found = _by_blocks(*_vectors(points, queries), [], distances.BLOCKWISE[distance], k, radius)
+    else:
+        every = F.explode(F.array(*(F.lit(i) for i in range(BLOCKS))))
+        p = points.select(F.col("id").alias("point_id"), "key", F.size("key").alias("_d"), F.pmod(F.xxhash64("id"), F.lit(BLOCKS)).cast("int").alias("_b"))
+        q = queries.select("query_id", "q", F.size("q").alias("_d"), F.pmod(F.xxhash64("query_id"), F.lit(BLOCKS)).cast("int").alias("_c"))
+        pairs = p.withColumn("_c", every).join(q.withColumn("_b", every), ["_d", "_b", "_c"])
+        found = pairs.select("query_id", "point_id", distance(F.col("key"), F.col("q")).alias("distance"))
+        if radius > 0:
+            found = found.where(F.col("distance") < radius)
+    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "point_id"))).select("query_id", "point_id", "distance", "rank")
     return ranked.where(F.col("rank") <= k) if k > 0 else ranked
 
 

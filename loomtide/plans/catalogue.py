@@ -476,7 +476,7 @@ def area(spark, sf_dir):
 def _distance(f):
     def run(spark, sf_dir):
         p = _points(spark, sf_dir)
-        return spatial.around(p, _asked(p), distance=f).select("query_id", "point_id", rounded("distance", 6).alias("distance"))
+        return spatial.all_distances(p, _asked(p), f, 6)
 
     return run
 
