@@ -18,6 +18,8 @@ BLOCKS = 16
 POINT_VALUES, QUERY_VALUES = 1 << 19, 1 << 16
 #: Points and queries whose distances are computed together.
 COLUMNS, ROWS = 2048, 16
+#: A grid cell of more points than this is packed into blocks.
+DENSE = 256
 
 
 def keep_last(points: DataFrame, order: str = "seq") -> DataFrame:
@@ -179,14 +181,18 @@ def around(points: DataFrame, queries: DataFrame, k: int = -1, radius: float = -
 def radius_by_grid(points: DataFrame, queries: DataFrame, radius: float) -> DataFrame:
     """Pairs closer than a radius, for any number of queries: an equi-join on grid cells of that width.
 
-    The grid covers the first two dimensions, so a query meets nine cells.
+    The grid covers the first two dimensions, so a query meets nine cells. Cells of more than ``DENSE`` points, as vectors of
+    many dimensions fill them, are packed into blocks of a bounded size, so no cell is one task's.
     """
     cell = lambda c, i: F.floor(F.col(c)[i] / radius)
-    p = points.select(F.col("id").alias("point_id"), "key", cell("key", 0).alias("cx"), cell("key", 1).alias("cy"))
+    p = points.select("id", F.col("key").cast("array<double>").alias("v"), cell("key", 0).alias("cx"), cell("key", 1).alias("cy"))
     near = F.array(*(F.lit(d) for d in (-1, 0, 1)))
-    q = queries.withColumn("dx", F.explode(near)).withColumn("dy", F.explode(near)).select("query_id", "q", (cell("q", 0) + F.col("dx")).alias("cx"), (cell("q", 1) + F.col("dy")).alias("cy"))
-    out = p.join(q, ["cx", "cy"]).select("query_id", "point_id", distances.euclidean(F.col("key"), F.col("q")).alias("distance"))
-    return out.where(F.col("distance") < radius)
+    q = queries.withColumn("dx", F.explode(near)).withColumn("dy", F.explode(near)).select(F.col("query_id").alias("id"), F.col("q").cast("array<double>").alias("v"), (cell("q", 0) + F.col("dx")).alias("cx"), (cell("q", 1) + F.col("dy")).alias("cy"))
+    dense = p.groupBy("cx", "cy").agg(F.count("*").alias("n")).where(F.col("n") > DENSE).select("cx", "cy")
+    many = _by_blocks(p.join(dense, ["cx", "cy"]), q.join(dense, ["cx", "cy"]), ["cx", "cy"], distances.euclidean_block, radius=radius)
+    few = p.join(dense, ["cx", "cy"], "left_anti").select(F.col("id").alias("point_id"), "v", "cx", "cy").join(q.select(F.col("id").alias("query_id"), F.col("v").alias("w"), "cx", "cy"), ["cx", "cy"])
+    few = few.select("query_id", "point_id", distances.euclidean(F.col("v"), F.col("w")).alias("distance")).where(F.col("distance") < radius)
+    return many.unionByName(few)
 
 
 def area(points: DataFrame, low: list[float], high: list[float]) -> DataFrame:

@@ -54,6 +54,16 @@ def test_nearest_of_many_blocks(spark, sides, monkeypatch, k, radius):
     assert sorted(repr(tuple(r)) for r in got.collect()) == sorted(repr(tuple(r[c] for c in got.columns)) for r in want.collect())
 
 
+def test_dense_cells_are_blocks(spark, sides, monkeypatch):
+    monkeypatch.setattr(spatial, "DENSE", 20)
+    monkeypatch.setattr(spatial, "POINT_VALUES", 120)
+    p, q = (d.where(F.size(c) > 0) for d, c in zip(sides, ("key", "q"), strict=True))
+    got = spatial.radius_by_grid(p, q, 1.5)
+    assert "MapInArrow" in got._jdf.queryExecution().toString()
+    want = _plain(p, q, distances.euclidean).where("distance < 1.5")
+    assert _bits(got.collect()) == _bits(want.collect()) and got.count() > 100
+
+
 def test_rounding_is_that_of_the_engine(spark):
     x = [0.0000005, 1.0000015, 2.5, -0.0000005, -1e-9, 1.2345675, 0.1234565, 4503599627.3704975, 1e300, 123456789.1234565, float("nan"), float("inf")]
     x += [float(v) for v in np.round(np.random.default_rng(1).random(500), 7)]
