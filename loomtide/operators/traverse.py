@@ -50,18 +50,22 @@ def traverse(nodes: DataFrame, edges: DataFrame, rel: str, targets: DataFrame |
 
 
 def closure(edges: DataFrame, rounds: int = 64) -> DataFrame:
-    """(src, dst, hops): everything reachable and the fewest hops to it, one join a round."""
-    step = edges.select("src", "dst").distinct()
+    """(src, dst, hops): everything reachable and the fewest hops to it, one join a round.
+
+    Each round's pairs are written once and read from there. Both sides of a join are shuffled: broadcasts would
+    send the driver a part of the table in every round.
+    """
+    step = cut_lineage(edges.select("src", "dst").distinct())
+    onward = step.select(F.col("src").alias("dst"), F.col("dst").alias("next")).hint("merge")
     known = step.withColumn("hops", F.lit(1))
     front, hops = step, 1
     while not front.isEmpty():
         hops += 1
         if hops > rounds:
             raise ValueError(f"paths are longer than {rounds}")
-        front = front.join(step.select(F.col("src").alias("dst"), F.col("dst").alias("next")), "dst").select("src", F.col("next").alias("dst")).distinct().join(known.select("src", "dst"), ["src", "dst"], "left_anti")
+        found = front.join(onward, "dst").select("src", F.col("next").alias("dst")).distinct()
+        front = cut_lineage(found.join(known.select("src", "dst").hint("merge"), ["src", "dst"], "left_anti"))
         known = known.union(front.withColumn("hops", F.lit(hops)))
-        if hops % 4 == 0:
-            known, front = cut_lineage(known), cut_lineage(front)
     return known
 
 
