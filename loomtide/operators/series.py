@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
@@ -99,42 +100,147 @@ def fit_polynomial(t: np.ndarray, v: np.ndarray, degree: int) -> np.ndarray:
     return np.linalg.lstsq(np.vander(t, degree + 1, increasing=True), v, rcond=None)[0]
 
 
+#: Rows that a task segments together, numbers of windows fitted at once, and the fewest windows worth fitting together.
+SERIES_ROWS, WINDOW_NUMBERS, TOGETHER = 1 << 18, 1 << 17, 8
+#: A column less independent than this of lower powers, and errors this close to the precision, are left to least squares.
+INDEPENDENT, CLOSE = 1e-5, 1e-6
+
+
+def _least_degree(t: np.ndarray, v: np.ndarray, precision: float, max_degree: int) -> int:
+    """The least degree whose least squares keep every error within the precision; -1 if none does."""
+    u = (t - t[0]) / max(t[-1] - t[0], 1.0)
+    for degree in range(min(max_degree, len(t) - 1) + 1):
+        w = fit_polynomial(u, v, degree)
+        if np.abs(np.vander(u, degree + 1, increasing=True) @ w - v).max() <= precision:
+            return degree
+    return -1
+
+
+def _least_degrees(t: np.ndarray, v: np.ndarray, lo: np.ndarray, hi: np.ndarray, precision: float, max_degree: int) -> np.ndarray:
+    """``_least_degree`` of many windows [lo, hi) together, by residuals against orthogonal polynomials; doubtful ones by least squares."""
+    out = np.full(len(lo), -2)
+    size = hi - lo
+    order = np.argsort(size, kind="stable") if len(lo) >= TOGETHER else np.zeros(0, np.int64)
+    at = 0
+    while at < len(order):
+        n = max(1, WINDOW_NUMBERS // int(size[order[at]]))
+        # Windows of one call differ in length by half at most.
+        some = order[at : at + n]
+        some = some[size[some] <= size[some[0]] * 1.5]
+        at += len(some)
+        width = np.arange(size[some].max())
+        held = width < size[some, None]
+        place = np.minimum(lo[some, None] + width, hi[some, None] - 1)
+        u = (t[place] - t[lo[some], None]) / np.maximum(t[hi[some] - 1] - t[lo[some]], 1.0)[:, None]
+        r = np.where(held, v[place], 0.0)
+        close = CLOSE * np.maximum(1.0, np.abs(r).max(axis=1))
+        power, basis = held.astype(float), []
+        for degree in range(min(max_degree, int(size[some].max()) - 1) + 1):
+            column, whole = power, np.sqrt((power * power).sum(axis=1))
+            for q in (*basis, *basis):
+                column = column - (q * column).sum(axis=1, keepdims=True) * q
+            left = np.sqrt((column * column).sum(axis=1))
+            sure = left > INDEPENDENT * whole
+            q = column / np.where(sure, left, 1.0)[:, None]
+            r = r - (q * r).sum(axis=1, keepdims=True) * q
+            error = np.abs(r).max(axis=1)
+            fits, fails = sure & (error <= precision - close), sure & (error > precision + close)
+            out[some[fits]] = degree
+            out[some[fails & (degree >= np.minimum(max_degree, size[some] - 1))]] = -1
+            # What neither fits nor fails for sure stays at -2.
+            on = fails & (degree < np.minimum(max_degree, size[some] - 1))
+            if not on.any():
+                break
+            if not on.all():
+                some, held, u, r, close, power, q = (x[on] for x in (some, held, u, r, close, power, q))
+                basis = [b[on] for b in basis]
+            basis.append(q)
+            power = power * u
+    for i in np.flatnonzero(out == -2):
+        out[i] = _least_degree(t[lo[i] : hi[i]], v[lo[i] : hi[i]], precision, max_degree)
+    return out
+
+
+def _segments(t: np.ndarray, v: np.ndarray, starts: np.ndarray, stops: np.ndarray, ended: bool, precision: float, max_degree: int) -> tuple[list, int]:
+    """Segments (lo, hi, degree) of the series [start, stop), one window of each series at a time; and where the last one is still
+    open, if it has not ``ended``."""
+    lo, stop, series = starts.copy(), stops, np.arange(len(starts))
+    good, step, bad, degree = lo + 1, np.full(len(lo), 2), np.full(len(lo), -1), np.zeros(len(lo), np.int64)
+    out, rest = [], len(t)
+    active = np.ones(len(lo), bool)
+    while True:
+        grown = active & (bad < 0) & (good >= stop)
+        if not ended and active[-1] and bad[-1] < 0 and lo[-1] + step[-1] > stop[-1]:
+            rest, active[-1], grown[-1] = int(lo[-1]), False, False
+        bad[grown] = good[grown] + 1
+        done = active & (bad >= 0) & (bad - good <= 1)
+        if done.any():
+            out += zip(series[done].tolist(), lo[done].tolist(), good[done].tolist(), degree[done].tolist(), strict=True)
+            lo[done] = good[done]
+            good[done], step[done], bad[done], degree[done] = lo[done] + 1, 2, -1, 0
+            active &= lo < stop
+            continue
+        if not active.any():
+            return sorted(out), rest
+        i = np.flatnonzero(active)
+        growing = bad[i] < 0
+        hi = np.where(growing, np.minimum(lo[i] + step[i], stop[i]), (good[i] + bad[i]) // 2)
+        found = _least_degrees(t, v, lo[i], hi, precision, max_degree)
+        fits = found >= 0
+        bad[i] = np.where(fits, bad[i], hi)
+        good[i] = np.where(fits, hi, good[i])
+        degree[i] = np.where(fits, found, degree[i])
+        step[i] = np.where(fits & growing, step[i] * 2, step[i])
+
+
 def compress(df: DataFrame, x: str, precision: float = 1.0, max_degree: int = 20, by: str = "id", time: str = "time") -> DataFrame:
     """Piecewise polynomials of each series: (id, start, stop, scale, degree, weights).
 
     A segment takes points while some degree up to the largest keeps every error within the
     precision, and else a new one starts. A segment's ends grow and shrink by
-    doubling and halving, so a series of n points takes n log n work. Each series is one task's group.
+    doubling and halving, so a series of n points takes n log n work. Rows are shuffled by series and sorted; a task reads them as a
+    stream, fits windows of many series together and holds of the last one only the points of its open segment. Rows without a time
+    or value take no part; values that are not finite are an error.
     """
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(time)
-        t, v = pdf[time].to_numpy(float), pdf[x].to_numpy(float)
-        out, lo = [], 0
-
-        def best(hi: int):
-            scale = max(t[hi - 1] - t[lo], 1.0)
-            u = (t[lo:hi] - t[lo]) / scale
-            for degree in range(min(max_degree, hi - lo - 1) + 1):
-                w = fit_polynomial(u, v[lo:hi], degree)
-                if np.abs(np.vander(u, degree + 1, increasing=True) @ w - v[lo:hi]).max() <= precision:
-                    return scale, degree, w
-            return None
-
-        while lo < len(t):
-            good, step = lo + 1, 2
-            while good < len(t) and best(min(lo + step, len(t))):
-                good, step = min(lo + step, len(t)), step * 2
-            bad = min(lo + step, len(t) + 1)
-            while bad - good > 1:
-                mid = (good + bad) // 2
-                good, bad = (mid, bad) if best(mid) else (good, mid)
-            scale, degree, w = best(good)
-            out.append((pdf[by].iloc[0], int(t[lo]), int(t[good - 1]), float(scale), degree, w.tolist()))
-            lo = good
-        return pd.DataFrame(out, columns=[by, "start", "stop", "scale", "degree", "weights"])
-
     kind = dict(df.dtypes)[by]
-    return df.select(by, time, x).groupBy(by).applyInPandas(one, f"{by} {kind}, start long, stop long, scale double, degree int, weights array<double>")
+    ddl = f"{by} {kind}, start long, stop long, scale double, degree int, weights array<double>"
+
+    def cut_up(rows: pa.Table, ended: bool) -> tuple[pa.RecordBatch, pa.Table]:
+        keys = rows[by].combine_chunks()
+        t, v = (rows[c].combine_chunks().to_numpy(zero_copy_only=False).astype(float) for c in (time, x))
+        if not np.isfinite(v).all():
+            raise ValueError(f"{x} holds values that are not finite")
+        code = keys.dictionary_encode(null_encoding="encode").indices.to_numpy()
+        starts = np.flatnonzero(np.diff(code, prepend=-1) != 0)
+        found, rest = _segments(t, v, starts, np.append(starts[1:], len(t)), ended, precision, max_degree)
+        scales, weights = [], []
+        for _, lo, hi, degree in found:
+            scale = max(t[hi - 1] - t[lo], 1.0)
+            scales.append(scale)
+            weights.append(fit_polynomial((t[lo:hi] - t[lo]) / scale, v[lo:hi], degree))
+        lo, hi, degrees = (np.array([f[i] for f in found], np.int64) for i in (1, 2, 3))
+        offsets = np.cumsum([0, *map(len, weights)]).astype(np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*weights, np.zeros(0)])))
+        cols = [keys.take(pa.array(lo)), pa.array(t[lo].astype(np.int64)), pa.array(t[hi - 1].astype(np.int64)), pa.array(scales, pa.float64()), pa.array(degrees.astype(np.int32)), lists]
+        return pa.RecordBatch.from_arrays(cols, [by, "start", "stop", "scale", "degree", "weights"]), rows.slice(rest)
+
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        # An open segment that fills the buffer doubles it, so no row is read again for each batch.
+        most = SERIES_ROWS
+        for batch in batches:
+            held.append(pa.Table.from_batches([batch]))
+            n += batch.num_rows
+            if n >= most:
+                out, rest = cut_up(pa.concat_tables(held), False)
+                held, n = [rest], rest.num_rows
+                most = max(SERIES_ROWS, 2 * n)
+                yield out
+        if n:
+            yield cut_up(pa.concat_tables(held), True)[0]
+
+    rows = df.select(by, time, x).where(F.col(time).isNotNull() & F.col(x).isNotNull())
+    return rows.repartition(by).sortWithinPartitions(by, time).mapInArrow(stream, ddl)
 
 
 def read_polynomial(segments: DataFrame, at: DataFrame, by: str = "id", time: str = "time") -> DataFrame:
