@@ -249,7 +249,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # Each pass links the components of the one before, and its roots are looked up in turn.
     first = members.select(F.col("hub").alias("a"), F.col("rep").alias("b"), F.col("hub").alias("comp_a"), F.col("rep").alias("comp_b"))
     passes = [stars(confirmed(likely(first)), "comp_a", "comp_b")]
-    todo = still_open(relabelled(members.where("members > 2").withColumn("comp", F.col("rep")), "comp", passes[-1]))
+    # A representative's buckets (a band each, so bounded) wait in its row while its component is looked up.
+    nested = members.groupBy("rep").agg(F.collect_list(F.struct("band", "key", "hub", "members", "total")).alias("buckets")).withColumn("comp", F.col("rep"))
+    placed = relabelled(nested, "comp", passes[-1]).select("rep", "comp", F.inline("buckets")).where("members > 2")
+    todo = still_open(placed)
     if not todo.isEmpty():
         second = todo.where("comp = hi").groupBy("key").agg(F.max("members").alias("members"), F.min("rep").alias("a"))
         pairs = with_state(todo, second).where("comp <> hi").select("a", F.col("rep").alias("b"), F.col("hi").alias("comp_a"), F.col("comp").alias("comp_b"))
