@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from decimal import ROUND_HALF_UP, Context, Decimal
+from math import isqrt
 
 import numpy as np
 import pyarrow as pa
@@ -18,8 +19,12 @@ BLOCKS = 16
 POINT_VALUES, QUERY_VALUES = 1 << 19, 1 << 16
 #: Points and queries whose distances are computed together.
 COLUMNS, ROWS = 2048, 16
+#: Pairs that are arranged by distance together, and rows that are given on at once.
+ARRANGED, SENT = 1 << 23, 1 << 18
 #: A grid cell of more points than this is packed into blocks.
 DENSE = 256
+#: Columns of measured pairs.
+FOUND = ["query_id", "point_id", "distance"]
 
 
 def keep_last(points: DataFrame, order: str = "seq") -> DataFrame:
@@ -44,6 +49,11 @@ def _packed(rows: DataFrame, sizes: DataFrame, keys: list[str], own: str, other:
         flat = lists.flatten()
         hole = flat.is_null().to_numpy(zero_copy_only=False).reshape(len(held), d).any(axis=1)
         data = flat.to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(held), d)[order.to_numpy()]
+        # Numbers that were floats before take four bytes.
+        with np.errstate(all="ignore"):
+            small = data.astype(np.float32)
+        if np.array_equal(small.astype(np.float64).view(np.int64), data.view(np.int64)):
+            data = small
         taken = held.take(order)
         offsets = pa.array([0, len(taken)], pa.int32())
         cols = [pa.array([k.as_py()], k.type) for k in key]
@@ -84,65 +94,126 @@ def _half_up(x: np.ndarray, digits: int) -> np.ndarray:
     return np.where(np.isfinite(x), out, x)
 
 
-def _measured(batches: Iterator[pa.RecordBatch], measure: Callable[[np.ndarray, np.ndarray], np.ndarray], k: int, radius: float, digits: int | None) -> Iterator[pa.RecordBatch]:
-    """(query_id, point_id, distance) of each pair of blocks: of each query the k first, or all, below the radius; then rounded."""
-    names = ["query_id", "point_id", "distance"]
+def _sides(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[pa.Array, np.ndarray, np.ndarray], ...]]:
+    """Ids, vectors (one a column) and holes of the points and of the queries of each pair of blocks."""
     for batch in batches:
         col = lambda name: batch.column(batch.schema.get_field_index(name))
         for i in range(batch.num_rows):
-            d = col("_d")[i].as_py()
-            pid, qid = (col(f"{c}_ids")[i].values for c in "pq")
-            x, y = (np.frombuffer(col(f"{c}_vectors")[i].as_buffer(), np.float64).reshape(d, -1 if d else len(ids)) for c, ids in (("p", pid), ("q", qid)))
-            hole, q_hole = (np.frombuffer(col(f"{c}_holes")[i].as_buffer(), bool) for c in "pq")
-            for lo in range(0, len(qid), ROWS):
-                some = np.ascontiguousarray(y[:, lo : lo + ROWS])
+            d, sides = col("_d")[i].as_py(), []
+            for c in "pq":
+                ids, raw = col(f"{c}_ids")[i].values, col(f"{c}_vectors")[i].as_buffer()
+                vectors = np.frombuffer(raw, np.float32 if raw.size == 4 * d * len(ids) else np.float64).astype(np.float64, copy=False)
+                sides.append((ids, vectors.reshape(d, len(ids)), np.frombuffer(col(f"{c}_holes")[i].as_buffer(), bool)))
+            yield tuple(sides)
+
+
+def _distances(measure: Callable[[np.ndarray, np.ndarray], np.ndarray], x: np.ndarray, hole: np.ndarray, y: np.ndarray, q_hole: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distances of some queries, a row each, to a block of points, and where they are null."""
+    y = np.ascontiguousarray(y)
+    with np.errstate(all="ignore"):
+        dist = np.concatenate([measure(x[:, a : a + COLUMNS], y) for a in range(0, x.shape[1], COLUMNS)], axis=1)
+    empty = hole | q_hole[:, None]
+    if measure in distances.WITH_NULLS:
+        dist[empty] = distances.WITH_NULLS[measure]
+        empty[:] = False
+    return dist, empty
+
+
+def _measured(batches: Iterator[pa.RecordBatch], measure: Callable[[np.ndarray, np.ndarray], np.ndarray], k: int, radius: float) -> Iterator[pa.RecordBatch]:
+    """(query_id, point_id, distance) of each pair of blocks: of each query the k first, or all, below the radius."""
+    for (pid, x, hole), (qid, y, q_hole) in _sides(batches):
+        for lo in range(0, len(qid), ROWS):
+            dist, empty = _distances(measure, x, hole, y[:, lo : lo + ROWS], q_hole[lo : lo + ROWS])
+            out = ([], [], [])
+            for j in range(len(dist)):
+                at = np.flatnonzero((dist[j] < radius) & ~empty[j]) if radius > 0 else None
+                if k > 0:
+                    # Nulls come first and NaN last, as in an ORDER BY; equal distances stay in the order of ids.
+                    by = np.where(empty[j], -np.inf, dist[j])
+                    at = np.arange(len(by)) if at is None else at
+                    if len(at) > k:
+                        last = np.partition(by[at], k - 1)[k - 1]
+                        at = at if np.isnan(last) else at[by[at] <= last]
+                    at = at[np.argsort(by[at], kind="stable")[:k]]
+                n = len(pid) if at is None else len(at)
+                if not n:
+                    continue
+                out[0].append(pa.repeat(qid[lo + j], n))
+                out[1].append(pid if at is None else pid.take(pa.array(at)))
+                value, null = (dist[j], empty[j]) if at is None else (dist[j][at], empty[j][at])
+                out[2].append(pa.array(value, mask=null) if null.any() else pa.array(value))
+            if out[0]:
+                yield pa.RecordBatch.from_arrays([pa.concat_arrays(c) for c in out], FOUND)
+
+
+def _ascending(values: np.ndarray) -> np.ndarray:
+    """Positions by ascending value, numbers that aren't finite at the ends; values less than a 2^37th of their range apart may mix."""
+    finite = np.isfinite(values)
+    if not finite.any():
+        return np.arange(len(values))
+    low, high = values.min(where=finite, initial=np.inf), values.max(where=finite, initial=-np.inf)
+    # Value and position make up one integer: sorting those takes a sixth of the time that sorting positions by value does.
+    bits = len(values).bit_length()
+    by = np.nan_to_num(values, nan=high, posinf=high, neginf=low)
+    by *= 0.5
+    by -= low * 0.5
+    by *= 2.0 ** (61 - bits) / max(high * 0.5 - low * 0.5, 1e-280)
+    by = by.astype(np.int64)
+    by <<= bits
+    by |= np.arange(len(by))
+    by.sort()
+    by &= (1 << bits) - 1
+    return by
+
+
+def _all_measured(batches: Iterator[pa.RecordBatch], measure: Callable[[np.ndarray, np.ndarray], np.ndarray], digits: int) -> Iterator[pa.RecordBatch]:
+    """(query_id, point_id, distance) of every pair of each pair of blocks, rounded.
+
+    Rows come by distance, of which far fewer differ than there are pairs: written by columns they take less than half the disk.
+    """
+    for (pid, x, hole), (qid, y, q_hole) in _sides(batches):
+        step = max(1, ARRANGED // len(pid))
+        for lo in range(0, len(qid), step):
+            most = min(len(qid), lo + step)
+            dist, empty = np.empty((most - lo, len(pid))), np.zeros((most - lo, len(pid)), bool)
+            for at in range(lo, most, ROWS):
+                some = slice(at, min(at + ROWS, most))
+                part, null = _distances(measure, x, hole, y[:, some], q_hole[some])
                 with np.errstate(all="ignore"):
-                    dist = np.concatenate([measure(x[:, a : a + COLUMNS], some) for a in range(0, len(pid), COLUMNS)], axis=1)
-                empty = hole | q_hole[lo : lo + ROWS, None]
-                if measure in distances.WITH_NULLS:
-                    dist[empty] = distances.WITH_NULLS[measure]
-                    empty[:] = False
-                out = ([], [], [])
-                for j in range(len(dist)):
-                    at = np.flatnonzero((dist[j] < radius) & ~empty[j]) if radius > 0 else None
-                    if k > 0:
-                        # Nulls come first and NaN last, as in an ORDER BY; equal distances stay in the order of ids.
-                        by = np.where(empty[j], -np.inf, dist[j])
-                        at = np.arange(len(by)) if at is None else at
-                        if len(at) > k:
-                            last = np.partition(by[at], k - 1)[k - 1]
-                            at = at if np.isnan(last) else at[by[at] <= last]
-                        at = at[np.argsort(by[at], kind="stable")[:k]]
-                    n = len(pid) if at is None else len(at)
-                    if not n:
-                        continue
-                    out[0].append(pa.repeat(qid[lo + j], n))
-                    out[1].append(pid if at is None else pid.take(pa.array(at)))
-                    value, null = (dist[j], empty[j]) if at is None else (dist[j][at], empty[j][at])
-                    if digits is not None:
-                        with np.errstate(all="ignore"):
-                            value = _half_up(value, digits)
-                    out[2].append(pa.array(value, mask=null) if null.any() else pa.array(value))
-                if out[0]:
-                    yield pa.RecordBatch.from_arrays([pa.concat_arrays(c) for c in out], names)
+                    dist[at - lo : some.stop - lo] = _half_up(part.ravel(), digits).reshape(part.shape)
+                empty[at - lo : some.stop - lo] = null
+            dist, empty = dist.ravel(), empty.ravel() if empty.any() else None
+            order = _ascending(dist)
+            for at in range(0, len(order), SENT):
+                pairs = order[at : at + SENT]
+                q, p = np.divmod(pairs.astype(np.int32), np.int32(len(pid)))
+                value = pa.array(dist[pairs]) if empty is None else pa.array(dist[pairs], mask=empty[pairs])
+                yield pa.RecordBatch.from_arrays([qid.take(pa.array(q + lo)), pid.take(pa.array(p)), value], FOUND)
 
 
 def _by_blocks(points: DataFrame, queries: DataFrame, keys: list[str], measure: Callable[[np.ndarray, np.ndarray], np.ndarray], k: int = -1, radius: float = -1.0, digits: int | None = None) -> DataFrame:
-    """(query_id, point_id, distance) of points (*keys, id, v) and queries (*keys, id, v) of equal keys and lengths.
+    """(query_id, point_id, distance) of points (*keys, id, v) and queries (*keys, id, v) of equal keys and lengths; with digits, of all pairs and rounded.
 
-    Both sides are packed into blocks of a bounded size; each pair of blocks is one row of an equi-join, measured by numpy.
+    Both sides are packed into blocks of a bounded size; each pair of blocks is one row, measured by numpy. Without keys, where every block
+    meets every other, each block is shuffled once and read by many tasks (a nested product): dealing copies of it to all partners would
+    write an amount that grows with the square of the rows. With keys, groups are apart, and copies of a group's blocks meet in an equi-join.
     """
     p, q = (df.withColumn("_d", F.size("v")).where("v is not null") for df in (points, queries))
-    keys = [*keys, "_d"]
+    lone, keys = not keys, [*keys, "_d"]
     counted = lambda df, name, values: df.groupBy(*keys).agg(F.greatest(F.lit(1), F.ceil(F.count("*") * F.greatest("_d", F.lit(1)) / values)).cast("int").alias(name))
     sizes = counted(p, "_b", POINT_VALUES).join(counted(q, "_c", QUERY_VALUES), keys)
-    # Each block is dealt once for every block of the other side.
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = _packed(p, sizes, keys, "_b", "_c", POINT_VALUES, "p").withColumn("_c", every("_c"))
-    right = _packed(q, sizes, keys, "_c", "_b", QUERY_VALUES, "q").withColumn("_b", every("_b"))
-    pairs = left.join(right, [*keys, "_b", "_c"])
+    left, right = _packed(p, sizes, keys, "_b", "_c", POINT_VALUES, "p"), _packed(q, sizes, keys, "_c", "_b", QUERY_VALUES, "q")
+    if lone:
+        # A task has some blocks of points and some of queries, whose parts are few: parts of points are many already.
+        parts = max(1, isqrt(int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+        left, right = left.drop("_c").repartition("_d", "_b"), right.drop("_b").repartitionById(parts, F.pmod(F.col("_d") + F.col("_c"), F.lit(parts)))
+        pairs = left.hint("shuffle_replicate_nl").join(right, keys)
+    else:
+        # Each block is dealt once for every block of the other side.
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        pairs = left.withColumn("_c", every("_c")).join(right.withColumn("_b", every("_b")), [*keys, "_b", "_c"])
     ddl = f"query_id {dict(queries.dtypes)['id']}, point_id {dict(points.dtypes)['id']}, distance double"
-    return pairs.mapInArrow(lambda batches: _measured(batches, measure, k, radius, digits), ddl)
+    return pairs.mapInArrow(lambda batches: _measured(batches, measure, k, radius) if digits is None else _all_measured(batches, measure, digits), ddl)
 
 
 def _vectors(points: DataFrame, queries: DataFrame) -> tuple[DataFrame, DataFrame]:
