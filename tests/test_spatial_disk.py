@@ -37,7 +37,7 @@ def test_points_are_shuffled_once_whatever_the_number_of_query_blocks(spark, mon
     assert 0 < few and _shuffled(spark, run()) < 2 * few
 
 
-@pytest.mark.parametrize(("f", "digits"), [(distances.euclidean, 6)])
+@pytest.mark.parametrize(("f", "digits"), [(distances.euclidean, 6), (distances.pearson, 5)])
 def test_files_of_all_pairs_are_compact(spark, tmp_path, f, digits):
     p, q = _sides(spark, 10_000, 50)
     spatial.all_distances(p, q, f, digits).write.parquet(f"{tmp_path}/out")
